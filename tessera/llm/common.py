@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2_000_000
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Turns Parquet's vectored reads off: they keep a direct buffer as large as a column chunk for each I/O thread."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
