@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, shared_dir, work_path
+from tessera.llm.common import ascii_lower, cut, table, work_path
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -137,7 +137,7 @@ def dedup_lines(
     ``batches`` deals the documents out by doc_id and adds them to the runs one after the other."""
     spark = docs.sparkSession
     runs = runs or LineRuns(spark)
-    hashes = line_hashes(docs, doc_id, text, min_chars)
+    hashes = cut(line_hashes(docs, doc_id, text, min_chars), "line-hashes")
     for k in range(batches):
         runs.add(hashes if batches == 1 else hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
     drops = (
@@ -172,8 +172,6 @@ def dedup_lines(
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
