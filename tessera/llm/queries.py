@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tessera.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tessera.llm.simhash_dedup import op8_simhash_neardup
+from tessera.llm.toxicity import op10_toxicity
 from tessera.llm.url_filter import op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op8_simhash_neardup": op8_simhash_neardup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
