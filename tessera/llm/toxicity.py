@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A word is generated along its prefixes (5 bytes, 7 bytes, the whole word); at each level a class has discounted counts
+A word is generated along its prefixes (4, 6 and 8 bytes, the whole word); at each level a class has discounted counts
 given the level before, and what the discount takes goes to the counts that both classes share (continuation counts:
 in how many documents an expression is new). A text's score compares the
 length-normalised log-likelihoods of the two classes, and a logistic curve, fitted on scores that the two halves of the
@@ -30,10 +30,10 @@ MAX_PER_CLASS = 8000
 #: Of a labelled row, learning reads at most so many characters; scoring reads whole texts.
 SAMPLE_CHARS = 20_000
 CUT = 0.7
-PREFIXES = (5, 7)
+PREFIXES = (4, 6, 8)
 DISCOUNT = 0.9
 EVEN = 15
-_SALT = [np.uint64(0x1000193 * k + 7) for k in range(1, 4)]
+_SALT = [np.uint64(0x1000193 * k + 7) for k in range(1, len(PREFIXES) + 2)]
 
 
 def expressions(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -42,7 +42,7 @@ def expressions(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     h = Hasher(data)
     levels = [h(s, np.minimum(e, s + n)) ^ _SALT[k] for k, n in enumerate(PREFIXES)]
     word = h(s, e)
-    levels.append(word ^ _SALT[2])
+    levels.append(word ^ _SALT[-1])
     return levels, owner
 
 
@@ -82,7 +82,7 @@ class Model:
         out = np.zeros(len(levels[0]))
         live = np.arange(len(out))
         place = np.zeros(len(out), np.int64)
-        for k in range(3):
+        for k in range(len(self.keys)):
             key = levels[k][live]
             if not len(self.keys[k]) or not len(live):
                 break
@@ -99,7 +99,7 @@ class Model:
         """Per text: logs of the length-normalised surplus of the toxic likelihood and of the share of words that
         carry it. A word that repeats the word before it counts once; EVEN words more make short texts comparable."""
         levels, owner = expressions(texts)
-        word = levels[2]
+        word = levels[-1]
         if len(word):
             new = np.concatenate([[True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])])
             levels, owner = [x[new] for x in levels], owner[new]
@@ -119,9 +119,9 @@ class Model:
 def count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per level: keys, in how many ordinary and toxic texts each is, and the key of the level before."""
     levels, owner = expressions(texts)
-    parents = [np.zeros(len(owner), np.uint64), levels[0], levels[1]]
+    parents = [np.zeros(len(owner), np.uint64), *levels[:-1]]
     out = []
-    for key, parent in zip(levels[:3], parents, strict=True):
+    for key, parent in zip(levels, parents, strict=True):
         order = np.lexsort((owner, key))
         k, o = key[order], owner[order]
         new = np.ones(len(k), bool)
@@ -134,21 +134,22 @@ def count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.nd
 
 
 def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic regression with bias, by Newton's method."""
+    """Weights of a ridge logistic regression with bias, by Newton's method; a toxic row counts twice."""
     x = np.column_stack([f, np.ones(len(f))])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 0.1 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        g = x.T @ ((1 + y) * (p - y)) + 0.1 * w
+        h = (x * ((1 + y) * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w = w - np.linalg.solve(h, g)
     return w
 
 
 def fit(texts: list[bytes], toxic: list[int]) -> Model:
     y = np.array(toxic, np.int64)
+    n = len(PREFIXES) + 1
     if not len(y) or y.min() == y.max():
-        return Model([np.zeros(0, np.uint64)] * 3, [np.zeros((0, 2))] * 3, [np.zeros(0, np.uint64)] * 3)
+        return Model(*[[np.zeros(0, np.uint64)] * n, [np.zeros((0, 2))] * n, [np.zeros(0, np.uint64)] * n])
     halves = np.arange(len(y)) % 2
     feats, labels = [], []
     for k in (0, 1):
