@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from tessera.llm.line_dedup import OP5_SQL, op5_line_dedup
+from tessera.llm.sentencepiece_codec import op4_sentencepiece
 from tessera.llm.simhash_dedup import op8_simhash_neardup
 from tessera.llm.toxicity import op10_toxicity
 from tessera.llm.url_filter import op2_url_filter
+from tessera.llm.vafile import OP9_SQL, op9_exact_topk
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op8_simhash_neardup": op8_simhash_neardup,
+    "op9_exact_topk": op9_exact_topk,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
     "op5_line_dedup": OP5_SQL,
+    "op9_exact_topk": OP9_SQL,
 }
