@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import chunked, id_texts, table
 from tessera.llm.words import Hasher, words
 
-MAX_PER_CLASS = 8000
+MAX_PER_CLASS = 4000
 #: Of a labelled row, learning reads at most so many characters; scoring reads whole texts.
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 8000
 CUT = 0.7
 PREFIXES = (4, 6, 8)
 DISCOUNT = 0.9
@@ -118,6 +118,20 @@ class Model:
 
 def count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per level: keys, in how many ordinary and toxic texts each is, and the key of the level before."""
+    parts, at = [], 0
+    for rows in chunked(iter(texts), len):
+        parts.append(_count(rows, toxic[at : at + len(rows)]))
+        at += len(rows)
+    out = []
+    for level in zip(*parts, strict=True):
+        keys, first, inv = np.unique(np.concatenate([k for k, _, _ in level]), return_index=True, return_inverse=True)
+        n = np.concatenate([n for _, n, _ in level])
+        sums = np.stack([np.bincount(inv, n[:, c], len(keys)) for c in (0, 1)], 1)
+        out.append((keys, sums, np.concatenate([up for _, _, up in level])[first]))
+    return out
+
+
+def _count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     levels, owner = expressions(texts)
     parents = [np.zeros(len(owner), np.uint64), *levels[:-1]]
     out = []
@@ -133,19 +147,22 @@ def count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.nd
     return out
 
 
-def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic regression with bias, by Newton's method; a toxic row counts twice."""
+def _logistic(f: np.ndarray, y: np.ndarray, each: tuple[float, float]) -> np.ndarray:
+    """Weights of a ridge logistic regression with bias, by Newton's method. A row counts as many times as it stands
+    for labelled rows of its class (each), a toxic one twice that."""
+    c = np.where(y == 1, 2 * each[1], each[0])
+    c = c * len(c) / c.sum()
     x = np.column_stack([f, np.ones(len(f))])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((1 + y) * (p - y)) + 0.1 * w
-        h = (x * ((1 + y) * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        g = x.T @ (c * (p - y)) + 0.1 * w
+        h = (x * (c * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w = w - np.linalg.solve(h, g)
     return w
 
 
-def fit(texts: list[bytes], toxic: list[int]) -> Model:
+def fit(texts: list[bytes], toxic: list[int], each: tuple[float, float] = (1.0, 1.0)) -> Model:
     y = np.array(toxic, np.int64)
     n = len(PREFIXES) + 1
     if not len(y) or y.min() == y.max():
@@ -155,10 +172,10 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
     for k in (0, 1):
         own, other = np.flatnonzero(halves == k), np.flatnonzero(halves != k)
         half = Model(*zip(*count([texts[i] for i in own], y[own]), strict=True))
-        feats.append(half.features([texts[i] for i in other]))
+        feats.append(np.concatenate([half.features(rows) for rows in chunked((texts[i] for i in other), len)]))
         labels.append(y[other])
     model = Model(*zip(*count(texts, y), strict=True))
-    model.weights = _logistic(np.concatenate(feats), np.concatenate(labels))
+    model.weights = _logistic(np.concatenate(feats), np.concatenate(labels), each)
     return model
 
 
@@ -181,7 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) ->
     text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")
     rows = docs.join(F.broadcast(few), docs["doc_id"] == few["__id"]).select("__id", "__toxic", text).toPandas()
     rows = rows.sort_values(["__id", "text"], kind="stable")
-    return fit([t.encode() for t in rows["text"]], rows["__toxic"].tolist())
+    there = dict(marked.groupBy("__toxic").count().collect())
+    each = [there.get(c, 0) / max(1, min(per_class, there.get(c, 0))) for c in (0, 1)]
+    return fit([t.encode() for t in rows["text"]], rows["__toxic"].tolist(), (each[0], each[1]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
