@@ -53,7 +53,7 @@ def ascii_lower(c: Column) -> Column:
 
 def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
-    return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in batch.column(batch.schema.names.index(name)).cast(pa.binary()).to_pylist()]
 
 
 def chunked(rows: Iterator[tuple], size: Callable[[tuple], int], limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:

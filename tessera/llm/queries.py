@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op6_decontamination
 from tessera.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tessera.llm.pii import op7_pii
 from tessera.llm.sentencepiece_codec import op4_sentencepiece
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_exact_topk": op9_exact_topk,
