@@ -85,8 +85,8 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def build(model: dict):
-    """A tokenizers.Tokenizer equal to the model."""
+def build(model: dict, normalise: bool = True):
+    """A tokenizers.Tokenizer equal to the model; normalise=False takes texts that are normalised already."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     pieces = model["pieces"]
@@ -104,11 +104,9 @@ def build(model: dict):
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
     steps += [normalizers.Prepend(MARK)] if model["dummy_prefix"] else []
     steps.append(normalizers.Replace(" ", MARK))
-    out.normalizer = normalizers.Sequence(steps)
-    if not any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind in (NORMAL, USER)):
-        # No piece goes on over a marker that follows other characters: parts from marker to marker are independent.
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-    parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    if normalise:
+        out.normalizer = normalizers.Sequence(steps)
+    parts = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")]
     out.decoder = decoders.Sequence(parts + ([decoders.Strip(" ", 1, 0)] if model["dummy_prefix"] else []))
     return out
 
@@ -121,7 +119,11 @@ def _loaded(path: str, threads: int):
 
     with open(path, "rb") as f:
         data = f.read()
-    return build(parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    model = parse_model(data)
+    # Where the normaliser only sets markers, str.replace does that at a fraction of the pipeline's cost.
+    marks_only = model["dummy_prefix"] and not model["charsmap"] and not model["squeeze"]
+    plain = sentencepiece.SentencePieceProcessor(model_proto=data)
+    return build(model, normalise=not marks_only), plain, marks_only
 
 
 def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int = 2, ids: bool = True) -> DataFrame:
@@ -138,12 +140,13 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = model if os.path.exists(model) else SparkFiles.get(os.path.basename(model))
-        fast, plain = _loaded(path, threads)
+        fast, plain, marks_only = _loaded(path, threads)
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             start = 0
             for rows in chunked(iter(texts), len, BATCH_BYTES):
-                encoded = fast.encode_batch_fast(rows, add_special_tokens=False)
+                ready = [MARK + t.replace(" ", MARK) if t else t for t in rows] if marks_only else rows
+                encoded = fast.encode_batch_fast(ready, add_special_tokens=False)
                 same, out = [], []
                 for t, e in zip(rows, encoded, strict=True):
                     want = plain.encode(t)
