@@ -48,29 +48,44 @@ def inner_phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return s, e, Hasher(data)(s, e)
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks from 1 of the keys, and how many there are."""
-    order = np.argsort(keys)
-    k = keys[order]
-    new = np.ones(len(k), np.int64)
-    new[1:] = k[1:] != k[:-1]
-    out = np.empty(len(k), np.int64)
-    out[order] = np.cumsum(new)
-    return out, int(new.sum())
+def _refine(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of items by (group, key), and for each in that order its new group: the old one's number plus how many of
+    the old group's items have smaller keys."""
+    order = np.argsort((group << 32) | key)
+    g, k = group[order], key[order]
+    index = np.arange(len(order))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = g[1:] != g[:-1]
+    apart = fresh.copy()
+    apart[1:] |= k[1:] != k[:-1]
+    base = index[fresh][np.cumsum(fresh) - 1]
+    return order, g + (index[apart][np.cumsum(apart) - 1] - base)
 
 
 def suffix_ranks(first: np.ndarray, covered: int, left: np.ndarray) -> np.ndarray:
     """Ranks of all suffixes of terminated sequences by prefix doubling; equal suffixes share a rank.
 
-    first: keys that order by the first ``covered`` symbols; left: how many symbols each suffix has."""
-    rank, distinct = _ranks(first)
-    n, longest = len(rank), int(left.max(initial=0))
-    while covered < longest and distinct < n:
-        after = np.zeros(n, np.int64)
-        has = np.flatnonzero(left > covered)
-        after[has] = rank[has + covered]
-        rank, distinct = _ranks((rank << 32) | after)
+    first: keys that order by the first ``covered`` symbols; left: how many symbols each suffix has. A rank is the
+    number of smaller suffixes plus one, so only suffixes that are still tied and not at their end are sorted again."""
+    n = len(first)
+    rank = np.ones(n, np.int64)
+    order = np.argsort(first)
+    k = first[order]
+    apart = np.ones(n, bool)
+    apart[1:] = k[1:] != k[:-1]
+    rank[order] = np.flatnonzero(apart)[np.cumsum(apart) - 1] + 1
+    size = np.bincount(rank, minlength=n + 2)
+    live = np.flatnonzero((size[rank] > 1) & (left > covered))
+    while len(live):
+        order, new = _refine(rank[live], rank[live + covered])
+        live = live[order]
+        rank[live] = new
         covered *= 2
+        tied = np.ones(len(live), bool)
+        tied[:-1] = new[1:] == new[:-1]
+        tied[-1:] = False
+        tied[1:] |= new[1:] == new[:-1]
+        live = live[tied & (left[live] > covered)]
     return rank
 
 
@@ -84,7 +99,6 @@ def corpus_order(data: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> n
     own = np.concatenate([np.arange(n_strings), owner])
     order = np.lexsort((s, own))
     s, own = s[order], own[order]
-    starts_at_trigger = order >= n_strings
     twice = np.zeros(len(s), bool)  # a string that starts with a trigger needs no phrase before it
     twice[:-1] = (own[:-1] == own[1:]) & (s[:-1] == s[1:])
     s, own = s[~twice], own[~twice]
@@ -93,7 +107,6 @@ def corpus_order(data: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> n
     e = np.empty(len(s), np.int64)
     e[:-1] = s[1:] + WIDTH
     e[last] = offsets[own[last] + 1]
-    del starts_at_trigger
     h = Hasher(data)(s, e) ^ last.astype(np.uint64)
     _, first, phrase = np.unique(h, return_index=True, return_inverse=True)
     # The dictionary: distinct phrases one after the other, each ended by a symbol below all bytes.
