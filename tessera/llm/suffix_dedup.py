@@ -59,17 +59,16 @@ class Group:
             run = run + 1 if k and i == self.ids[k - 1] else 0
             self.dups.append(run)
 
-    def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first document, bytes, offsets) of parts of bounded size."""
-        at = 0
+        self.chunks, at = [], 0  # (first document, bytes, offsets, phrases) of parts of bounded size
         for texts in chunked(iter(self.texts), len):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            yield at, np.frombuffer(b"".join(texts), np.uint8), offsets
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            self.chunks.append((at, data, offsets, inner_phrases(data, offsets)))
             at += len(texts)
 
     def dictionary(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, bucket, more than once here) of the distinct phrases, by bucket, then hash."""
-        hs = [inner_phrases(data, offsets)[2] for _, data, offsets in self.chunks()]
+        hs = [h for *_, (_, _, h) in self.chunks]
         keys, n = np.unique(np.concatenate(hs) if hs else np.zeros(0, np.uint64), return_counts=True)
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -77,14 +76,13 @@ class Group:
 
     def pieces(self, repeated: np.ndarray) -> Iterator[tuple[int, int, int, bytes, int]]:
         """(document, start, end, bytes, key) of the pieces of windows that can be repeated; repeated: sorted hashes."""
-        for at, data, offsets in self.chunks():
+        for at, data, offsets, (s, e, h) in self.chunks:
             n = len(data)
             first, end = offsets[:-1], offsets[1:]
             long = end - first >= LENGTH
             if not long.any():
                 continue
             steps = np.bincount(first[long], minlength=n + 1) - np.bincount(end[long] - LENGTH + 1, minlength=n + 1)
-            s, e, h = inner_phrases(data, offsets)
             if len(repeated):
                 there = repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h
             else:
@@ -96,9 +94,11 @@ class Group:
             places = np.flatnonzero(live)
             if not len(places):
                 continue
-            key = _least(rolling(data, _KEY_DOUBLINGS) * _C, LENGTH - 2**_KEY_DOUBLINGS + 1)[places]
-            new = np.ones(len(places), bool)
-            new[1:] = (places[1:] != places[:-1] + 1) | (key[1:] != key[:-1])
+            apart = np.ones(len(places), bool)
+            apart[1:] = places[1:] != places[:-1] + 1
+            key = _keys(data, places, apart)
+            new = apart
+            new[1:] |= key[1:] != key[:-1]
             head = np.flatnonzero(new)
             tail = np.concatenate([head[1:], [len(places)]])
             more = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(head, tail, strict=True) if b - a > PIECE] or [head[:0]])
@@ -112,6 +112,20 @@ class Group:
                 yield at + d, x - o, y - o, raw[x:y], v
 
 
+def _keys(data: np.ndarray, places: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The keys of the windows at places; apart marks the first of each run of neighbours. Only the runs are hashed."""
+    head = np.flatnonzero(apart)
+    size = np.diff(np.append(head, len(places))) + LENGTH - 1
+    shift = np.cumsum(size) - size
+    total = int(size.sum())
+    step = np.ones(total, np.int64)
+    step[0] = places[0]
+    step[shift[1:]] = places[head[1:]] - (places[head[:-1]] + size[:-1] - 1)
+    part = data[np.cumsum(step)]
+    at = np.arange(len(places)) + np.repeat((LENGTH - 1) * np.arange(len(head)), np.diff(np.append(head, len(places))))
+    return _least(rolling(part, _KEY_DOUBLINGS) * _C, LENGTH - 2**_KEY_DOUBLINGS + 1)[at]
+
+
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours."""
     step = 1
@@ -231,12 +245,13 @@ def repeated_windows(pieces: list[bytes], order: np.ndarray, starts: np.ndarray)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     places = offsets[piece] + offset
     by = corpus_order(data[:-8], offsets, places)
-    label = np.cumsum(~equal_neighbours(data, places[by], LENGTH))
-    doc, at = order[piece[by]], starts[piece[by]] + offset[by]
-    rank = np.lexsort((at, doc, label))
-    lab = label[rank]
+    fresh = ~equal_neighbours(data, places[by], LENGTH)
+    # Earliest of each class: documents and places as one number (a bucket has fewer than 2^23 documents).
+    when = ((order[piece] << 40) | (starts[piece] + offset))[by]
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(by)))
     gone = np.zeros(len(piece), bool)
-    gone[by[rank[1:]]] = lab[1:] == lab[:-1]
+    gone[by] = when != np.repeat(np.minimum.reduceat(when, first), size)
     return _runs(gone, piece, offset)
 
 
