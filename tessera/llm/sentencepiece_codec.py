@@ -126,15 +126,16 @@ def _loaded(path: str, threads: int):
     return build(model, normalise=not marks_only), plain, marks_only
 
 
-def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int = 2, ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int | None = None, ids: bool = True) -> DataFrame:
     """docs with ids (array of int), n_tokens, decoded, round_trip (decoded equals the text) and parity added.
 
-    model is a path that all executors can open, or a file that was handed out with addFile. ids=False leaves the
+    model is a path that all executors can open, or a file that was handed out with addFile. threads is the number of
+    CPUs of a task (spark.task.cpus) unless given. ids=False leaves the
     arrays and texts out and gives ids_sha256 (of the ids as 32-bit little-endian numbers)."""
     import hashlib
 
-    names = docs.columns
-    at = names.index(text)
+    threads = threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+    at = docs.columns.index(text)
     kinds = "ids array<int>, n_tokens long, decoded string" if ids else "n_tokens long, ids_sha256 string"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [kinds, "round_trip boolean, parity boolean"])
 
@@ -152,7 +153,7 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, th
                     want = plain.encode(t)
                     same.append(e.ids == want)
                     out.append(want if not same[-1] else e.ids)
-                decoded = fast.decode_batch(out, skip_special_tokens=False)
+                decoded = [fast.decode(x, skip_special_tokens=False) for x in out]
                 cols = [b.column(c).slice(start, len(rows)) for c in range(b.num_columns)]
                 n = pa.array([len(x) for x in out], pa.int64())
                 if ids:
