@@ -4,7 +4,7 @@ Base patterns (email, ip, card, phone) are matched in linear time and always sta
 text that hold digits, ``@`` or a spelled-out ``at``/``dot``: it scores whole candidate segments (digit grouping,
 checksums, separators, cue words around them) and decodes the best sequence of entities and other tokens by dynamic
 programming, so that boundaries and kinds are chosen jointly. An entity has at most MAX_TOKENS tokens, so decoding is
-linear in the text. It is trained on generated sentences. A decoded span that touches no base span is added.
+linear in the text. It is trained on generated sentences. Segments that touch a base span are no candidates.
 
 Defined cases: null is the empty text; offsets are code points, ends exclusive; rows repeat as in the input.
 """
@@ -315,7 +315,7 @@ def stretches(text: str, around: int = 48) -> Iterator[tuple[int, int]]:
     start = end = -1
     for m in _STRETCH.finditer(text):
         a, b = m.start() - around, m.end() + around
-        if a > end:
+        if end < 0 or a > end:
             if end >= 0:
                 yield start, end
             start = max(0, a)
@@ -327,6 +327,9 @@ def stretches(text: str, around: int = 48) -> Iterator[tuple[int, int]]:
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """The field's spans that touch no base span, by kind, then start."""
     out: list[Span] = []
+    busy = np.zeros(len(text) + 1, bool) if base else None
+    for _, s, e in base:
+        busy[s:e] = True
     for a, b in stretches(text):
         while a > 0 and not text[a - 1].isspace() and text[a].isalnum() and text[a - 1].isalnum():
             a -= 1
@@ -337,20 +340,13 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
             continue
         tokens = tokens_of(text, a, b)
         segs = segments(text, tokens)
+        if busy is not None:
+            segs = [x for x in segs if not busy[tokens[x[0]][1] : tokens[x[1] - 1][2]].any()]
         if segs:
-            for s in field.decode(len(tokens), segs):
-                i, j, kind, _ = segs[s]
+            for n in field.decode(len(tokens), segs):
+                i, j, kind, _ = segs[n]
                 out.append((kind, tokens[i][1], tokens[j - 1][2]))
-    taken = sorted((s, e) for _, s, e in base)
-    free = [x for x in out if not any(s < x[2] and x[1] < e for s, e in taken)] if len(taken) < 50 else _free(out, taken)
-    return sorted(set(free), key=lambda x: (KINDS.index(x[0]), x[1]))
-
-
-def _free(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
-    busy = np.zeros(max([e for _, e in taken] + [e for *_, e in spans] + [0]) + 1, bool)
-    for s, e in taken:
-        busy[s:e] = True
-    return [x for x in spans if not busy[x[1] : x[2]].any()]
+    return sorted(set(out), key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def joined(spans: list[Span]) -> str:

@@ -25,6 +25,7 @@ from tessera.llm.common import chunked, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+HIDDEN = "\U0010ffff"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_BYTES = 1_000_000
 
@@ -97,7 +98,13 @@ def build(model: dict, normalise: bool = True):
             fuse_unk=True, byte_fallback=model["byte_fallback"],
         )
     else:
-        core = models.Unigram([(p, s) for p, s, _ in pieces], unknown, model["byte_fallback"])
+        # Pieces that no text matches get a name that no text has; bytes keep theirs, for the fallback, at a low score.
+        low = min((s for _, s, kind in pieces if kind == NORMAL), default=0.0) - 1000
+        named = [
+            (p, s) if kind in (NORMAL, USER) else (p, low) if kind == BYTE else (f"{HIDDEN}{i}", low)
+            for i, (p, s, kind) in enumerate(pieces)
+        ]
+        core = models.Unigram(named, unknown, model["byte_fallback"])
     out = Tokenizer(core)
     steps = [normalizers.Precompiled(model["charsmap"])] if model["charsmap"] else []
     if model["squeeze"]:

@@ -32,7 +32,7 @@ OUT = "query_id long, query_row int, vec_id long, vec_row int, score long"
 
 def _matrix(t: pa.Table, dim: int) -> np.ndarray:
     flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return np.floor(256.0 * flat.astype(np.float64)).reshape(-1, dim)
+    return np.floor(256.0 * flat.astype(np.float64)).reshape(t.num_rows, dim)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
