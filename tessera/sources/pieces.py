@@ -132,7 +132,9 @@ class PieceTable:
             nan = nan | (F.isnan(c) if c in floats else F.lit(False))
         for a in self.axes:
             if a.hi is not None:
-                inverted = inverted | F.coalesce(F.col(a.lo) > F.col(a.hi), F.lit(False))
+                wrong = F.col(a.lo) > F.col(a.hi)
+                wrong = wrong & ~F.isnan(a.lo) if a.lo in floats else wrong
+                inverted = inverted | F.coalesce(wrong, F.lit(False))
         row = self.df.agg(
             F.count_if(null).alias("null"), F.count_if(nan).alias("nan"), F.count_if(inverted).alias("inverted")
         ).first()
