@@ -1,9 +1,9 @@
 """Line dedup (native): levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n_docs, max_doc), bucketed and sorted by h1, so that merging runs and looking a batch up in
-them are sort-merge joins without a shuffle of the runs. A new batch is merge-joined with the runs: a key that they
-hold gets a row with the sums so far, a key that they don't hold (the anti-join) a row of its own; the newest row of a
-key has the largest counts. When a level has more than ``fan`` runs they are merged into one run of the next level.
+A run is a table (h1, h2, n_docs, max_doc), bucketed and sorted by both hashes, so that a batch is merge-joined with
+each run without a shuffle of the run. A key that no run holds (the anti-join) gets a row of its own; a key that some
+run holds gets a row with the counts so far, so a key's newest row has its largest counts. When a level has more than
+``fan`` runs they are merged into one run of the next level.
 
 Defined cases: a null or empty text is one empty line. Rows that repeat a doc_id are one document when documents are
 counted, and each row keeps its own lines. Rows with a null doc_id aren't counted and lose no line. Columns other than
@@ -22,6 +22,8 @@ from tessera.llm.common import ascii_lower, cut, table, work_path
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: A static table is added to the runs in so many batches of documents.
+BATCHES = 4
 #: From so many dropped keys on, a document's keys are looked up by parts of their hashes.
 MANY = 64
 PARTS = 1024
@@ -48,7 +50,7 @@ def line_hashes(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFr
 class LineRuns:
     """The levelled runs under one folder. ``levels[k]`` lists the tables of level k, newest last."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fan: int = 4):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fan: int = 3):
         self.spark, self.fan = spark, fan
         self.root = root or work_path(spark, "line-runs")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -57,10 +59,10 @@ class LineRuns:
     def _write(self, run: DataFrame, level: int) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (
-            run.repartition(self.buckets, "h1")
+            run.repartition(self.buckets, "h1", "h2")
             .write.format("parquet")
             .option("path", f"{self.root}/level{level}/{name}")
-            .bucketBy(self.buckets, "h1")
+            .bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
             .saveAsTable(name)
         )
@@ -86,19 +88,20 @@ class LineRuns:
         """Adds a batch of whole documents as a run: (doc_id, h1, h2) rows, repeats included."""
         per_doc = hashes.where(F.col("doc_id").isNotNull()).groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         own = per_doc.groupBy("h1", "h2").agg(F.sum("one").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        known = self.merged()
-        if known is None:
-            self._write(own, 0)
-        else:
-            old = known.select("h1", "h2", F.col("n_docs").alias("n_old"), F.col("max_doc").alias("max_old"))
-            held = own.join(old, ["h1", "h2"]).select(
+        old_n, old_max = [F.lit(0).cast("long")], []
+        for k, name in enumerate(n for level in self.levels for n in level):
+            run = self.spark.table(name).select("h1", "h2", F.col("n_docs").alias(f"n{k}"), F.col("max_doc").alias(f"m{k}"))
+            own = own.join(run.hint("merge"), ["h1", "h2"], "left")
+            old_n.append(F.col(f"n{k}"))
+            old_max.append(F.col(f"m{k}"))
+        if old_max:
+            own = own.select(
                 "h1",
                 "h2",
-                (F.col("n_docs") + F.col("n_old")).alias("n_docs"),
-                F.greatest("max_doc", "max_old").alias("max_doc"),
+                (F.col("n_docs") + F.greatest(*old_n)).alias("n_docs"),
+                F.greatest("max_doc", *old_max).alias("max_doc"),
             )
-            fresh = own.join(old, ["h1", "h2"], "left_anti")
-            self._write(held.unionByName(fresh), 0)
+        self._write(own, 0)
         level = 0
         while len(self.levels[level]) > self.fan:
             self.compact(level)
@@ -129,7 +132,7 @@ def dedup_lines(
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
     runs: LineRuns | None = None,
-    batches: int = 1,
+    batches: int = BATCHES,
 ) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text added: a line whose key has at least min_chars code points and is in
     at least min_docs documents stays only in the largest doc_id that holds it.
