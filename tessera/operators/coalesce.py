@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.joins import Band, binned_join
 from tessera.sources.pieces import Axis, PieceTable
 
 MODES = ("reference", "always", "never")
+#: Parts of an axis that are sorted on their own.
+SLICES = 4096
 
 
 def overlap_exists(table: PieceTable, width: float | None = None) -> DataFrame:
@@ -43,20 +46,74 @@ def overlap_exists(table: PieceTable, width: float | None = None) -> DataFrame:
     return twice(pairs.limit(1)).union(copies).agg(F.bool_or("overlap").alias("overlap"))
 
 
+def ranked(places: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct numbers ``__b`` with their rank ``__r`` (from 1), the next larger one ``__next`` and, for each column of
+    sums, its running total. Places are dealt into SLICES equal slices of their span; each slice is sorted by itself, and
+    only one row for each slice is put in order in one task."""
+    span = places.agg(F.min("__b").cast("double").alias("__low"), F.max("__b").cast("double").alias("__high"))
+    at = (F.col("__b").cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.lit(float(SLICES))
+    slice_ = F.when(F.col("__high") > F.col("__low"), F.floor(at)).otherwise(0)
+    dealt = places.crossJoin(F.broadcast(span)).withColumn("__slice", slice_).drop("__low", "__high")
+    heads = dealt.groupBy("__slice").agg(
+        F.count("*").alias("__n"), F.min("__b").alias("__min"), *[F.sum(c).alias(f"__t_{c}") for c in sums]
+    )
+    order = W.orderBy("__slice")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    heads = heads.select(
+        "__slice", before("__n").alias("__rank0"), F.lead("__min").over(order).alias("__min1"),
+        *[before(f"__t_{c}").alias(f"__sum0_{c}") for c in sums],
+    )
+    inner = W.partitionBy("__slice").orderBy("__b")
+    local = dealt.withColumns(
+        {"__r": F.row_number().over(inner), "__next": F.lead("__b").over(inner)}
+        | {f"__run_{c}": F.sum(c).over(inner.rowsBetween(W.unboundedPreceding, 0)) for c in sums}
+    )
+    return local.join(F.broadcast(heads), "__slice").select(  # at most SLICES + 1 rows
+        "__b",
+        (F.col("__r") + F.col("__rank0")).alias("__r"),
+        F.coalesce("__next", "__min1").alias("__next"),
+        *[(F.col(f"__run_{c}") + F.col(f"__sum0_{c}")).alias(c) for c in sums],
+    )
+
+
+def _exact(t: T.DataType) -> bool:
+    return isinstance(t, (T.IntegralType, T.DecimalType))
+
+
+def sweep(table: PieceTable) -> DataFrame:
+    """The grid of one range axis with exact values: running sums over the breakpoints of what starts and ends there."""
+    (a,) = table.axes
+    counts = F.col(a.lo) < F.col(a.hi)  # the ends of other pieces cut, but carry nothing
+    v = F.when(counts, F.col(table.value)).otherwise(F.lit(0))
+    ends = table.df.select(F.col(a.lo).alias("__b"), v.alias("value")).union(
+        table.df.select(F.col(a.hi).alias("__b"), (-v).alias("value"))
+    )
+    steps = ends.groupBy("__b").agg(F.sum("value").alias("value"))
+    out = ranked(steps, ("value",)).where(F.col("__next").isNotNull() & (F.col("value") != 0))
+    return out.select(F.col("__b").alias(a.lo), F.col("__next").alias(a.hi), "value")
+
+
 def grid(table: PieceTable) -> DataFrame:
     """Cells between neighbouring breakpoints of all pieces, with the sums of the pieces that cover them; cells that
     nothing covers, and those that sum to zero, are absent."""
+    types = {f.name: f.dataType for f in table.df.schema}
+    if len(table.axes) == 1 and table.axes[0].hi is not None and _exact(types[table.value]):
+        if isinstance(types[table.axes[0].lo], T.NumericType):
+            return sweep(table)
     df = table.df.select(*dict.fromkeys([c for a in table.axes for c in a.columns]), F.col(table.value).alias("__value"))
-    keys: list[str] = []
+    source, keys = df, []
     marks: list[tuple[Axis, int, DataFrame]] = []
     for k, a in enumerate(table.axes):
         if a.hi is None:
             keys.append(a.lo)
             continue
-        ends = df.select(F.col(a.lo).alias("__b")).union(df.select(F.col(a.hi).alias("__b"))).distinct()
-        # One task sorts the distinct breakpoints of an axis, not the pieces.
-        order = W.orderBy("__b")
-        mark = ends.select("__b", F.row_number().over(order).alias("__r"), F.lead("__b").over(order).alias("__next"))
+        ends = source.select(F.col(a.lo).alias("__b")).union(source.select(F.col(a.hi).alias("__b"))).distinct()
+        if isinstance(types[a.lo], T.NumericType):
+            mark = ranked(ends)
+        else:  # times: one task sorts the axis's distinct breakpoints
+            order = W.orderBy("__b")
+            mark = ends.select("__b", F.row_number().over(order).alias("__r"), F.lead("__b").over(order).alias("__next"))
         marks.append((a, k, mark))
         for side, c in (("lo", a.lo), ("hi", a.hi)):
             df = df.join(mark.select(F.col("__b").alias(c), F.col("__r").alias(f"__{side}{k}")), c)
