@@ -26,6 +26,7 @@ MIN_DOCS = 3
 BATCHES = 4
 #: From so many dropped keys on, a document's keys are looked up by parts of their hashes.
 MANY = 64
+SHARE = 1e-3
 PARTS = 1024
 
 
@@ -121,8 +122,8 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """(h1, h2, max_doc) of the keys in at least min_docs documents."""
-        return self.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
+        """(h1, h2, n_docs, max_doc) of the keys in at least min_docs documents."""
+        return self.merged().where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(
@@ -143,8 +144,16 @@ def dedup_lines(
     hashes = cut(line_hashes(docs, doc_id, text, min_chars), "line-hashes")
     for k in range(batches):
         runs.add(hashes if batches == 1 else hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    repeated = cut(runs.repeated(min_docs), "repeated-lines")
+    total = repeated.agg(F.sum("n_docs").alias("s")).first()["s"] or 0
+    # A key with a share of SHARE or more of all occurrences would fill a partition; there are at most 1 / SHARE of them.
+    hot = F.col("n_docs") >= max(1.0, total * SHARE)
+    few = F.broadcast(repeated.where(hot).select("h1", "h2", "max_doc"))
+    rest = repeated.where(~hot).select("h1", "h2", "max_doc")
+    keys = ["h1", "h2"]
     drops = (
-        hashes.join(runs.repeated(min_docs), ["h1", "h2"])
+        hashes.join(few, keys)
+        .unionByName(hashes.join(few, keys, "left_anti").join(rest, keys))
         .where(F.col("doc_id") < F.col("max_doc"))
         .groupBy(F.col("doc_id").alias("__id"))
         .agg(F.collect_set("h1").alias("__drop"))
