@@ -38,7 +38,7 @@ from tessera.llm.pfp import corpus_order, equal_neighbours, inner_phrases, rolli
 
 LENGTH = 100
 GROUP_BYTES = 8_000_000
-DICTIONARY_BYTES = 64_000_000
+DICTIONARY_BYTES = 16_000_000
 BUCKET_BYTES = 3_000_000
 #: A piece has at most so many windows.
 PIECE = 2048
