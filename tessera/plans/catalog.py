@@ -337,6 +337,40 @@ def map_one_axis(spark, sf_dir):
     return mapping({"N": n}, ["N"], ["k[N] <= r[N] * 5"])
 
 
+@query('SELECT p_partkey AS "P_piece", q AS "Q_piece" FROM part JOIN (SELECT DISTINCT l_quantity::BIGINT AS q FROM lineitem) ON p_size = q')
+def map_reduce_pp_1d(spark, sf_dir):
+    p = load(spark, sf_dir, "part", piece="p_partkey", k="p_size")
+    q = load(spark, sf_dir, "lineitem", piece="cast(l_quantity AS long)").distinct().withColumn("k", F.col("piece"))
+    return mapping({"P": p, "Q": q}, ["P", "Q"], ["k[P] == k[Q]"])
+
+
+@query(
+    f"WITH {MONTHS_SQL}, {QUARTERS_SQL} "
+    'SELECT e.event_id AS "E_piece", q.piece AS "Q_piece" FROM (SELECT event_id, epoch_us(ts) AS t FROM events) e '
+    "JOIN quarters q ON t < q.hi * 86400000000 AND q.lo * 86400000000 < t + 3600000000"
+)
+def map_reduce_ii_1d(spark, sf_dir):
+    e = load(spark, sf_dir, "events", piece="event_id", lo=MICROS.format("ts"))
+    q = _quarters(spark, sf_dir).selectExpr("piece", f"lo * {DAY_US} AS lo", f"hi * {DAY_US} AS hi")
+    return mapping({"E": e.withColumn("hi", F.col("lo") + 60 * MINUTE_US), "Q": q}, ["E", "Q"], ["lo[E] < hi[Q]", "lo[Q] < hi[E]"])
+
+
+@query('SELECT l_orderkey * 10 + l_linenumber AS "L_piece", p_partkey AS "P_piece" FROM lineitem JOIN part ON l_partkey = p_partkey')
+def map_matmul_pp(spark, sf_dir):
+    p = load(spark, sf_dir, "part", piece="p_partkey", k="p_partkey")
+    lines = load(spark, sf_dir, "lineitem", piece="l_orderkey * 10 + l_linenumber", k="l_partkey")
+    return mapping({"L": lines, "P": p}, ["L", "P"], ["k[L] == k[P]"])
+
+
+@query(
+    f"WITH {MONTHS_SQL}, {QUARTERS_SQL}, {ORDERS_SQL} "
+    'SELECT o.piece AS "O_piece", q.piece AS "Q_piece" FROM o JOIN quarters q ON d < q.hi AND q.lo < d + 1'
+)
+def map_matmul_ii(spark, sf_dir):
+    frames = {"O": _orders(spark, sf_dir, 1), "Q": _quarters(spark, sf_dir)}
+    return mapping(frames, ["O", "Q"], ["lo[O] < hi[Q]", "lo[Q] < hi[O]"])
+
+
 # --- contraction -----------------------------------------------------------------------------------------------------
 
 
