@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import chunked, table
 
@@ -88,7 +87,7 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 def build(model: dict, normalise: bool = True):
     """A tokenizers.Tokenizer equal to the model; normalise=False takes texts that are normalised already."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     pieces = model["pieces"]
     unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)

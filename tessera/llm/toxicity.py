@@ -2,9 +2,9 @@
 
 A word is generated along its prefixes (4, 6 and 8 bytes, the whole word); at each level a class has discounted counts
 given the level before, and what the discount takes goes to the counts that both classes share (continuation counts:
-in how many documents an expression is new). A text's score compares the
-length-normalised log-likelihoods of the two classes, and a logistic curve, fitted on scores that the two halves of the
-training rows give each other, turns it into a probability.
+in how many documents an expression is new). A text's score compares the length-normalised log-likelihoods of the two
+classes, and a logistic curve, fitted on scores that the two halves of the training rows give each other, turns it into
+a probability.
 
 Learning uses at most MAX_PER_CLASS labelled rows of each class, those with the least hash of doc_id, from all rows
 whose crc32(doc_id as text) mod 3 is not 1. Scores depend on the text alone.
@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunked, id_texts, table
+from tessera.llm.common import binary, chunked, cut, id_texts, table
 from tessera.llm.words import Hasher, words
 
 MAX_PER_CLASS = 4000
-#: Of a labelled row, learning reads at most so many characters; scoring reads whole texts.
-SAMPLE_CHARS = 8000
 CUT = 0.7
 PREFIXES = (4, 6, 8)
 DISCOUNT = 0.9
@@ -118,20 +116,6 @@ class Model:
 
 def count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per level: keys, in how many ordinary and toxic texts each is, and the key of the level before."""
-    parts, at = [], 0
-    for rows in chunked(iter(texts), len):
-        parts.append(_count(rows, toxic[at : at + len(rows)]))
-        at += len(rows)
-    out = []
-    for level in zip(*parts, strict=True):
-        keys, first, inv = np.unique(np.concatenate([k for k, _, _ in level]), return_index=True, return_inverse=True)
-        n = np.concatenate([n for _, n, _ in level])
-        sums = np.stack([np.bincount(inv, n[:, c], len(keys)) for c in (0, 1)], 1)
-        out.append((keys, sums, np.concatenate([up for _, _, up in level])[first]))
-    return out
-
-
-def _count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     levels, owner = expressions(texts)
     parents = [np.zeros(len(owner), np.uint64), *levels[:-1]]
     out = []
@@ -147,7 +131,7 @@ def _count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def _logistic(f: np.ndarray, y: np.ndarray, each: tuple[float, float]) -> np.ndarray:
+def _logistic(f: np.ndarray, y: np.ndarray, each: list[float]) -> np.ndarray:
     """Weights of a ridge logistic regression with bias, by Newton's method. A row counts as many times as it stands
     for labelled rows of its class (each), a toxic one twice that."""
     c = np.where(y == 1, 2 * each[1], each[0])
@@ -162,45 +146,87 @@ def _logistic(f: np.ndarray, y: np.ndarray, each: tuple[float, float]) -> np.nda
     return w
 
 
-def fit(texts: list[bytes], toxic: list[int], each: tuple[float, float] = (1.0, 1.0)) -> Model:
-    y = np.array(toxic, np.int64)
-    n = len(PREFIXES) + 1
-    if not len(y) or y.min() == y.max():
-        return Model(*[[np.zeros(0, np.uint64)] * n, [np.zeros((0, 2))] * n, [np.zeros(0, np.uint64)] * n])
-    halves = np.arange(len(y)) % 2
-    feats, labels = [], []
-    for k in (0, 1):
-        own, other = np.flatnonzero(halves == k), np.flatnonzero(halves != k)
-        half = Model(*zip(*count([texts[i] for i in own], y[own]), strict=True))
-        feats.append(np.concatenate([half.features(rows) for rows in chunked((texts[i] for i in other), len)]))
-        labels.append(y[other])
-    model = Model(*zip(*count(texts, y), strict=True))
-    model.weights = _logistic(np.concatenate(feats), np.concatenate(labels), each)
-    return model
+def _model(t: pa.Table) -> Model:
+    """The model of (level, key, parent, n0, n1) rows; rows of one key are added up."""
+    level, key, parent = (t.column(c).to_numpy() for c in ("level", "key", "parent"))
+    n = np.stack([t.column(c).to_numpy() for c in ("n0", "n1")], 1)
+    out = []
+    for k in range(len(PREFIXES) + 1):
+        at = np.flatnonzero(level == k)
+        keys, first, inv = np.unique(key[at].view(np.uint64), return_index=True, return_inverse=True)
+        sums = np.stack([np.bincount(inv, n[at, c], len(keys)) for c in (0, 1)], 1)
+        out.append((keys, sums, parent[at][first].view(np.uint64)))
+    return Model(*zip(*out, strict=True))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(half, level, key, parent, n0, n1) of a stream of (half, toxic, text) rows."""
+    for b in batches:
+        half, toxic = (b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("half", "toxic"))
+        at = 0
+        for texts in chunked(iter(binary(b, "text")), len):
+            part = slice(at, at + len(texts))
+            at += len(texts)
+            for h in (0, 1):
+                own = np.flatnonzero(half[part] == h)
+                for k, (keys, n, up) in enumerate(count([texts[i] for i in own], toxic[part][own])):
+                    size = len(keys)
+                    yield pa.record_batch(
+                        [pa.array(np.full(size, x, np.int32)) for x in (h, k)]
+                        + [pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in (keys, up, n[:, 0], n[:, 1])],
+                        ["half", "level", "key", "parent", "n0", "n1"],
+                    )
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
-    """Fits the model on a bounded sample: only the sampled rows' ids are joined with the texts."""
+    """Fits the model on a bounded sample of rows, whole texts. Only the sampled rows' ids are joined with the texts,
+    and counting and scoring them is left to the executors; the driver gets the sums."""
     marked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("__id"))
-        .agg(F.max("toxic").alias("__toxic"))
+        .agg(F.max("toxic").cast("int").alias("__toxic"))
     )
+    there = dict(marked.groupBy("__toxic").count().collect())
     order = [F.xxhash64("__id"), F.col("__id")]
     ids = [r for c in (0, 1) for r in marked.where(F.col("__toxic") == c).orderBy(*order).limit(per_class).collect()]
-    if not ids:
-        return fit([], [])
-    few = docs.sparkSession.createDataFrame(ids, "__id long, __toxic int")
-    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")
-    rows = docs.join(F.broadcast(few), docs["doc_id"] == few["__id"]).select("__id", "__toxic", text).toPandas()
-    rows = rows.sort_values(["__id", "text"], kind="stable")
-    there = dict(marked.groupBy("__toxic").count().collect())
-    each = [there.get(c, 0) / max(1, min(per_class, there.get(c, 0))) for c in (0, 1)]
-    return fit([t.encode() for t in rows["text"]], rows["__toxic"].tolist(), (each[0], each[1]))
+    nothing = _model(pa.table({c: pa.array([], pa.int64()) for c in ("level", "key", "parent", "n0", "n1")}))
+    if len(there) < 2:
+        return nothing
+    spark = docs.sparkSession
+    few = F.broadcast(spark.createDataFrame(ids, "__id long, __toxic int"))  # at most 2 * per_class rows
+    half = F.pmod(F.xxhash64("__id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    rows = docs.join(few, F.col("doc_id") == F.col("__id")).select(half, F.col("__toxic").alias("toxic"), "text")
+    rows = cut(rows, "toxicity-sample")
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
+    tallies = rows.mapInArrow(_tally, "half int, level int, key long, parent long, n0 long, n1 long")
+    table_ = tallies.groupBy("half", "level", "key").agg(F.min("parent").alias("parent"), *sums).toArrow()
+    by_half = table_.column("half").to_numpy()
+    halves = spark.sparkContext.broadcast([_model(table_.filter(pa.array(by_half == h))) for h in (0, 1)])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, toxic = (b.column(b.schema.names.index(c)).to_pylist() for c in ("half", "toxic"))
+            for part in chunked(zip(own, toxic, binary(b, "text"), strict=True), lambda r: len(r[2]) + 64):
+                for h in (0, 1):
+                    mine = [r for r in part if r[0] == h]
+                    f = halves.value[1 - h].features([t for *_, t in mine])
+                    cols = [pa.array([y for _, y, _ in mine], pa.int32()), *(pa.array(f[:, c]) for c in (0, 1))]
+                    yield pa.record_batch(cols, ["toxic", "f0", "f1"])
+
+    seen = rows.mapInArrow(cross, "toxic int, f0 double, f1 double").toArrow()
+    f = np.stack([seen.column(c).to_numpy() for c in ("f0", "f1")], 1)
+    y = seen.column("toxic").to_numpy()
+    if len(np.unique(y)) < 2:
+        return nothing
+    model = _model(table_)
+    each = [there[c] / min(per_class, there[c]) for c in (0, 1)]
+    order = np.lexsort((f[:, 1], f[:, 0], y))  # the same sums for any partitioning
+    model.weights = _logistic(f[order], y[order], each)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:

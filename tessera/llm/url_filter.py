@@ -10,10 +10,8 @@ Defined cases: a url that is null or has no ``://`` has an empty host and path;
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

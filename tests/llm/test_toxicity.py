@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from tessera.llm.toxicity import fit, keep_clean, learn, score_toxicity
+from tessera.llm.toxicity import keep_clean, learn, score_toxicity
 
 BAD = ["blargh", "vexxor", "grumplet"]
 
@@ -75,5 +75,8 @@ def test_stage_keeps_columns_and_clean_rows(spark):
     assert ids == {i for i, p in scores.items() if not p}
 
 
-def test_one_class_gives_no_model():
-    assert fit([b"a b"], [1]).scores([b"a"]).tolist() == [0.0]
+def test_one_class_gives_no_model(spark):
+    rows = [(i, "a b", 1) for i in range(20)]
+    docs, labels = frames(spark, rows)
+    assert learn(docs, labels).scores([b"a"]).tolist() == [0.0]
+    assert learn(docs.limit(0), labels.union(spark.createDataFrame([(99, 0), (98, 0)], labels.schema))).scores([b"a"]).tolist() == [0.0]
