@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, plain_reads, table
+from tessera.llm.common import cut, prepare, table
 from tessera.llm.decontaminate import keep_uncontaminated
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.sentencepiece_codec import encode_documents
@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in one document each; text and n_chars change with them."""
-    plain_reads(spark)
+    prepare(spark)
     kept = dedup_lines(docs)
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
@@ -29,19 +29,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
-    plain_reads(spark)
+    prepare(spark)
     return keep_one(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    plain_reads(spark)
+    prepare(spark)
     return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and whether they decode to its text and equal the sentencepiece library's."""
-    plain_reads(spark)
+    prepare(spark)
     encoded = encode_documents(docs.select("doc_id", "lang", "source", "text"))
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip", "parity")
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +19,24 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2_000_000
 
 
-def plain_reads(spark: SparkSession) -> None:
-    """Turns Parquet's vectored reads off: they keep a direct buffer as large as a column chunk for each I/O thread."""
+def prepare(spark: SparkSession) -> None:
+    """Turns Parquet's vectored reads off, which keep a direct buffer as large as a column chunk for each I/O thread, and
+    sends this package to the Python workers, once for each Spark context."""
     spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", None) is None:
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp()  # the driver's own: executors fetch the file from the driver
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/tessera.zip", "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f"tessera/{f.relative_to(package)}")
+        context.addPyFile(f"{folder}/tessera.zip")
+        context._tessera_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    plain_reads(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
