@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, remove
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        e = cut(_small_star(_large_star(e)), "edges")
+        old, e = e, cut(_small_star(_large_star(e)), "edges")
+        remove(e.sparkSession, old._tessera_path)
         now = _state(e)
         if now == state:
             break

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, cut, table, work_path
+from tessera.llm.common import ascii_lower, cut, remove, table, work_path
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -120,6 +120,14 @@ class LineRuns:
         )
         for n in olds:
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            remove(self.spark, f"{self.root}/level{level}/{n}")
+
+    def drop(self) -> None:
+        """Forgets and deletes all runs."""
+        for name in (n for level in self.levels for n in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = []
+        remove(self.spark, self.root)
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, n_docs, max_doc) of the keys in at least min_docs documents."""
@@ -140,11 +148,14 @@ def dedup_lines(
 
     ``batches`` deals the documents out by doc_id and adds them to the runs one after the other."""
     spark = docs.sparkSession
+    own = runs is None
     runs = runs or LineRuns(spark)
     hashes = cut(line_hashes(docs, doc_id, text, min_chars), "line-hashes")
     for k in range(batches):
         runs.add(hashes if batches == 1 else hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
     repeated = cut(runs.repeated(min_docs), "repeated-lines")
+    if own:
+        runs.drop()
     total = repeated.agg(F.sum("n_docs").alias("s")).first()["s"] or 0
     # A key with a share of SHARE or more of all occurrences would fill a partition; there are at most 1 / SHARE of them.
     hot = F.col("n_docs") >= max(1.0, total * SHARE)
