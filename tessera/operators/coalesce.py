@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tessera.operators.joins import Band, binned_join
 from tessera.sources.pieces import Axis, PieceTable
 
-MODES = ("reference", "always", "never")
+MODES = ("gated", "always", "never")
 #: Parts of an axis that are sorted on their own.
 SLICES = 4096
 
@@ -129,8 +129,8 @@ def grid(table: PieceTable) -> DataFrame:
     return out.select(*[c for a in table.axes for c in a.columns], "value")
 
 
-def coalesce(table: PieceTable, mode: str = "reference") -> PieceTable:
-    """Equivalent pieces that don't overlap. "reference": unchanged if no two overlap, else all pieces are laid on the
+def coalesce(table: PieceTable, mode: str = "gated") -> PieceTable:
+    """Equivalent pieces that don't overlap. "gated": unchanged if no two overlap, else all pieces are laid on the
     grid of all breakpoints; "always": the grid in any case; "never": unchanged. Cells are told apart by their places."""
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} isn't one of {', '.join(MODES)}")

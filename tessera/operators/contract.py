@@ -43,7 +43,7 @@ def contract(
     equation: str,
     *tables: PieceTable,
     strategy: str = "auto",
-    coalesce: str = "reference",
+    coalesce: str = "gated",
     strict_bounds: bool = False,
     outer: bool = False,
     width: float | None = None,
@@ -51,7 +51,7 @@ def contract(
     """Evaluates an index equation such as ``ij,j->i`` over piece tables, lazily.
 
     Values are plain products, not weighted by lengths. Output pieces are told apart by the pieces that carry output
-    indices, then made disjoint: coalesce is "reference" (all or nothing, only if two overlap), "always" or "never".
+    indices, then made disjoint: coalesce is "gated" (all or nothing, only if two overlap), "always" or "never".
     A repeated index within one operand keeps its diagonal. outer=True allows operands that share no index."""
     notation = parse_notation(equation, [t.ndim for t in tables])
     if strict_bounds:
