@@ -32,6 +32,7 @@ SAMPLE = 4096
 #: Aim for so many fingerprints of its own in a shard.
 SHARD = 50_000
 LEAF = 192
+SHARE = 1e-3
 
 _LOWER = bytes(range(256)).translate(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -201,14 +202,20 @@ def simhash_components(
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
     fps = cut(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    counted = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    distinct = cut(counted, "distinct-fingerprints")
     roots = components(fingerprint_links(distinct, radius))
     in_part = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
+        "fp", "rep", "n", F.coalesce("root", "fp").alias("root")
     )
     least = in_part.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = in_part.join(least, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = cut(in_part.join(least, "root").select("fp", "n", "component_id"), "components")
+    # A fingerprint with a share of SHARE or more of the rows would fill a partition; there are at most 1 / SHARE of them.
+    total = label.agg(F.sum("n").alias("s")).first()["s"] or 0
+    hot = F.col("n") >= max(1.0, total * SHARE)
+    few, rest = F.broadcast(label.where(hot).drop("n")), label.where(~hot).drop("n")
+    found = fps.join(few, "fp").unionByName(fps.join(few, "fp", "left_anti").join(rest, "fp"))
+    return found.select("doc_id", "fp", "component_id")
 
 
 def fp_hex(fp):
