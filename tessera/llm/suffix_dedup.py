@@ -374,7 +374,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM d),
-w AS (SELECT rid, s, row_number() OVER (PARTITION BY substr(h, 2 * s + 1, 200) ORDER BY doc_id, s) AS n FROM g),
+k AS (SELECT rid, doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS k FROM g),
+w AS (SELECT rid, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM k),
 x AS (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh
       FROM w WHERE n > 1),
 y AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS island FROM x),
