@@ -12,7 +12,7 @@ earlier start). The steps, all over the whole corpus:
 4. A bucket merges equal pieces, and sorts the suffixes of the distinct ones by prefix-free parsing: suffix order of the
    dictionary and of the parse combine into corpus order. Neighbours with LENGTH equal bytes are one class, of which the
    earliest stays. The runs of repeated windows go back to their groups.
-5. The group removes what its own and the returned runs cover.
+5. The group removes what the returned runs cover.
 
 Hashes only select and route; which bytes go is decided by comparing bytes. A bucket's or group's size follows from
 the numbers of groups and buckets, which grow with the corpus; equal pieces are merged before they are sent, so copies
@@ -39,7 +39,9 @@ from tessera.llm.pfp import corpus_order, equal_neighbours, inner_phrases, rolli
 LENGTH = 100
 GROUP_BYTES = 8_000_000
 DICTIONARY_BYTES = 16_000_000
-BUCKET_BYTES = 3_000_000
+BUCKET_BYTES = 2_000_000
+#: Arrays over so many bytes of text stay in a core's cache.
+PART_BYTES = 500_000
 #: A piece has at most so many windows.
 PIECE = 2048
 _KEY_DOUBLINGS = 5
@@ -50,7 +52,7 @@ LAST = 2**63 - 1
 class Group:
     """The documents of one group in corpus order."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, parse: bool = True):
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = t.column("doc_id").to_pylist()
         self.texts = [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
@@ -60,7 +62,7 @@ class Group:
             self.dups.append(run)
 
         self.chunks, at = [], 0  # (first document, bytes, offsets, phrases) of parts of bounded size
-        for texts in chunked(iter(self.texts), len):
+        for texts in chunked(iter(self.texts), len, PART_BYTES) if parse else ():
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
             data = np.frombuffer(b"".join(texts), np.uint8)
             self.chunks.append((at, data, offsets, inner_phrases(data, offsets)))
@@ -74,8 +76,8 @@ class Group:
         order = np.argsort(bucket, kind="stable")
         return keys[order], bucket[order], n[order] > 1
 
-    def pieces(self, repeated: np.ndarray) -> Iterator[tuple[int, int, int, bytes, int]]:
-        """(document, start, end, bytes, key) of the pieces of windows that can be repeated; repeated: sorted hashes."""
+    def pieces(self, repeated: np.ndarray) -> Iterator[tuple[int, int, bytes, int]]:
+        """(document, start, bytes, key) of the pieces of windows that can be repeated; repeated: sorted hashes."""
         for at, data, offsets, (s, e, h) in self.chunks:
             n = len(data)
             first, end = offsets[:-1], offsets[1:]
@@ -109,7 +111,7 @@ class Group:
             raw = data.tobytes()
             for d, x, y, v in zip(owner.tolist(), a.tolist(), b.tolist(), key[head].tolist(), strict=True):
                 o = int(offsets[d])
-                yield at + d, x - o, y - o, raw[x:y], v
+                yield at + d, x - o, raw[x:y], v
 
 
 def _keys(data: np.ndarray, places: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -190,13 +192,13 @@ def _repeated(group: Group, bits: dict[int, bytes], buckets: int) -> np.ndarray:
 
 
 def _own_pieces(group: Group, repeated: np.ndarray, buckets: int) -> tuple[dict[int, list], list]:
-    """Distinct pieces by bucket as (document, start, bytes), and the repeats as (document, start, end)."""
+    """Distinct pieces by bucket, and the repeats among them, as (document, start, bytes)."""
     seen: set[bytes] = set()
     by: dict[int, list] = {}
     repeats = []
-    for d, a, b, raw, key in group.pieces(repeated):
+    for d, a, raw, key in group.pieces(repeated):
         if raw in seen:
-            repeats.append((d, a, b))
+            repeats.append((d, a, raw))
         else:
             seen.add(raw)
             by.setdefault((key >> 20) % buckets, []).append((d, a, raw))
@@ -204,22 +206,26 @@ def _own_pieces(group: Group, repeated: np.ndarray, buckets: int) -> tuple[dict[
 
 
 def piece_rows(texts: pa.Table, bits: pa.Table, buckets: int, dictionary: int) -> pa.Table:
-    """Step 3: (p, k, ids, dups, starts, lens, raw) for each bucket that the group has pieces for."""
+    """Step 3: (p, k, own, ids, dups, docs, starts, lens, raw) for each bucket that the group has pieces for. The row
+    with own=True lists the group's repeats of its own pieces; its bucket only hands them on."""
     k = texts.column("k")[0].as_py() if texts.num_rows else 0
     group = Group(texts)
     known = dict(zip(bits.column("b").to_pylist(), bits.column("bits").to_pylist(), strict=True))
-    by, _ = _own_pieces(group, _repeated(group, known, dictionary), buckets)
+    by, repeats = _own_pieces(group, _repeated(group, known, dictionary), buckets)
     ps = sorted(by)
-    of = lambda f, kind: pa.array([np.array([f(x) for x in by[p]], kind).tobytes() for p in ps], pa.binary())
+    lists = [by[p] for p in ps] + [repeats] * bool(repeats)
+    of = lambda f, kind: pa.array([np.array([f(x) for x in xs], kind).tobytes() for xs in lists], pa.binary())
     return pa.table(
         {
-            "p": pa.array(ps, pa.int32()),
-            "k": pa.array([k] * len(ps), pa.int32()),
+            "p": pa.array(ps + [k % buckets] * bool(repeats), pa.int32()),
+            "k": pa.array([k] * len(lists), pa.int32()),
+            "own": pa.array([False] * len(ps) + [True] * bool(repeats), pa.bool_()),
             "ids": of(lambda x: LAST if group.ids[x[0]] is None else group.ids[x[0]], np.int64),
             "dups": of(lambda x: group.dups[x[0]], np.int32),
+            "docs": of(lambda x: x[0], np.int32),
             "starts": of(lambda x: x[1], np.int64),
             "lens": of(lambda x: len(x[2]), np.int32),
-            "raw": pa.array([b"".join(x[2] for x in by[p]) for p in ps], pa.binary()),
+            "raw": pa.array([b"".join(x[2] for x in xs) for xs in lists[: len(ps)]] + [b""] * bool(repeats), pa.binary()),
         }
     )
 
@@ -256,84 +262,74 @@ def repeated_windows(pieces: list[bytes], order: np.ndarray, starts: np.ndarray)
 
 
 def bucket_rows(t: pa.Table) -> pa.Table:
-    """Step 4: (k, p, which, first, last): runs of repeated windows of the group's pieces in this bucket."""
-    t = t.sort_by([("k", "ascending")])
-    arr = lambda name, kind: [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
-    ids, dups, starts, lens = arr("ids", np.int64), arr("dups", np.int32), arr("starts", np.int64), arr("lens", np.int32)
-    row = np.repeat(np.arange(t.num_rows), [len(x) for x in ids])
-    number = np.concatenate([np.arange(len(x)) for x in ids])
-    ids, dups, starts = np.concatenate(ids), np.concatenate(dups), np.concatenate(starts)
-    contents: list[bytes] = []
-    for raw, ls in zip(t.column("raw").to_pylist(), lens, strict=True):
-        ends = np.cumsum(ls)
-        contents += [raw[a:b] for a, b in zip((ends - ls).tolist(), ends.tolist(), strict=True)]
-    earliest = np.lexsort((starts, dups, ids))
-    owner: dict[bytes, int] = {}
-    distinct, copies = [], []
-    for x in earliest.tolist():
-        if contents[x] in owner:
-            copies.append(x)
+    """Step 4: (k, docs, starts, ends): what goes from each group's documents, as far as this bucket knows."""
+    rows, out = [], []
+    for r in sorted(t.to_pylist(), key=lambda r: r["k"]):
+        if not r["own"]:
+            rows.append(r)
         else:
-            owner[contents[x]] = x
-            distinct.append(x)
-    d = np.array(distinct)
-    # Distinct pieces are in corpus order of their starts already; documents get dense ranks.
-    fresh = np.ones(len(d), np.int64)
-    fresh[1:] = (ids[d[1:]] != ids[d[:-1]]) | (dups[d[1:]] != dups[d[:-1]])
-    which, first, last = repeated_windows([contents[x] for x in distinct], np.cumsum(fresh), starts[d])
-    c = np.array(copies, np.int64)
-    size = np.array([len(contents[x]) for x in copies], np.int64)
-    which = np.concatenate([d[which], c]) if len(c) else d[which]
-    first = np.concatenate([first, np.zeros(len(c), np.int64)])
-    last = np.concatenate([last, size - LENGTH])
-    by = np.argsort(row[which], kind="stable")
-    which, first, last = which[by], first[by], last[by]
-    edges = np.searchsorted(row[which], np.arange(t.num_rows + 1))
-    some = [r for r in range(t.num_rows) if edges[r + 1] > edges[r]]
-    blob = lambda x: pa.array([x[edges[r] : edges[r + 1]].astype(np.int32).tobytes() for r in some], pa.binary())
-    ks, ps = t.column("k").to_pylist(), t.column("p").to_pylist()
-    return pa.table(
-        {
-            "k": pa.array([ks[r] for r in some], pa.int32()),
-            "b": pa.array([-1 - ps[r] for r in some], pa.int32()),
-            "bits": pa.array([b""] * len(some), pa.binary()),
-            "which": blob(number[which]),
-            "first": blob(first),
-            "last": blob(last),
-        }
+            starts = np.frombuffer(r["starts"], np.int64)
+            out.append((r["k"], r["docs"], starts.tobytes(), (starts + np.frombuffer(r["lens"], np.int32)).tobytes()))
+    if rows:
+        arr = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+        lens, ids = arr("lens", np.int32), arr("ids", np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in ids])
+        ids, dups, docs, starts = (
+            np.concatenate(x) for x in (ids, arr("dups", np.int32), arr("docs", np.int32), arr("starts", np.int64))
+        )
+        contents: list[bytes] = []
+        for r, ls in zip(rows, lens, strict=True):
+            ends = np.cumsum(ls)
+            contents += [r["raw"][a:b] for a, b in zip((ends - ls).tolist(), ends.tolist(), strict=True)]
+        owner: set[bytes] = set()
+        distinct, copies = [], []
+        for x in np.lexsort((starts, dups, ids)).tolist():
+            (copies if contents[x] in owner else distinct).append(x)
+            owner.add(contents[x])
+        d, c = np.array(distinct), np.array(copies, np.int64)
+        # Distinct pieces are in corpus order of their starts already; documents get dense ranks.
+        fresh = np.ones(len(d), np.int64)
+        fresh[1:] = (ids[d[1:]] != ids[d[:-1]]) | (dups[d[1:]] != dups[d[:-1]])
+        which, first, last = repeated_windows([contents[x] for x in distinct], np.cumsum(fresh), starts[d])
+        which = np.concatenate([d[which], c])
+        first = np.concatenate([first, np.zeros(len(c), np.int64)])
+        last = np.concatenate([last, np.array([len(contents[x]) - LENGTH for x in copies], np.int64)])
+        by = np.argsort(row[which], kind="stable")
+        which, first, last = which[by], first[by], last[by]
+        edges = np.searchsorted(row[which], np.arange(len(rows) + 1))
+        for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if b > a:
+                w = which[a:b]
+                begin, end = starts[w] + first[a:b], starts[w] + last[a:b] + LENGTH
+                out.append((rows[r]["k"], docs[w].tobytes(), begin.tobytes(), end.tobytes()))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], ["k", "docs", "starts", "ends"])
+
+
+def cleaned(texts: pa.Table, back: pa.Table, full: bool) -> pa.Table:
+    """Step 5: what is left of the group's documents."""
+    group = Group(texts, parse=False)
+    d, a, b = (
+        np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in back.column(c).to_pylist())])
+        for c, kind in (("docs", np.int32), ("starts", np.int64), ("ends", np.int64))
     )
-
-
-def cleaned(texts: pa.Table, back: pa.Table, buckets: int, dictionary: int, full: bool) -> pa.Table:
-    """Step 5: what is left of the group's documents. Rows of ``back`` with b >= 0 are bits of the dictionary, the
-    others runs from bucket -1 - b."""
-    group = Group(texts)
-    rows = back.to_pylist()
-    known = {r["b"]: r["bits"] for r in rows if r["b"] >= 0}
-    by, gone = _own_pieces(group, _repeated(group, known, dictionary), buckets)
-    for r in rows:
-        if r["b"] < 0:
-            mine = by[-1 - r["b"]]
-            for w, a, b in zip(*(np.frombuffer(r[c], np.int32).tolist() for c in ("which", "first", "last")), strict=True):
-                d, s, _ = mine[w]
-                gone.append((d, s + a, s + b + LENGTH))
-    del by
+    order = np.lexsort((a, d))
     spans: dict[int, list] = {}
-    for d, a, b in sorted(gone):
-        held = spans.setdefault(d, [])
-        if held and a <= held[-1][1]:
-            held[-1][1] = max(held[-1][1], b)
+    for k, start, end in zip(d[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        held = spans.setdefault(k, [])
+        if held and start <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], end)
         else:
-            held.append([a, b])
+            held.append([start, end])
     out: list[list] = [[] for _ in range(6)]
-    for d, text in enumerate(group.texts):
-        mine = spans.get(d, [])
+    for k, text in enumerate(group.texts):
+        mine = spans.get(k, [])
         kept, at = [], 0
-        for a, b in mine:
-            kept.append(text[at:a])
-            at = b
+        for start, end in mine:
+            kept.append(text[at:start])
+            at = end
         left = b"".join([*kept, text[at:]])
-        row = (group.ids[d], len(text), len(text) - len(left), len(mine), hashlib.sha256(left).hexdigest(), left)
+        row = (group.ids[k], len(text), len(text) - len(left), len(mine), hashlib.sha256(left).hexdigest(), left)
         for c, v in zip(out, row, strict=True):
             c.append(v)
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
@@ -354,17 +350,11 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fu
     bits = phrases.groupBy("b").applyInArrow(repeat_bits, "k int, b int, bits binary")
     pieces = dealt.groupBy("k").cogroup(bits.groupBy("k")).applyInArrow(
         lambda t, b: piece_rows(t, b, buckets, dictionary),
-        "p int, k int, ids binary, dups binary, starts binary, lens binary, raw binary",
+        "p int, k int, own boolean, ids binary, dups binary, docs binary, starts binary, lens binary, raw binary",
     )
-    runs = pieces.groupBy("p").applyInArrow(
-        bucket_rows, "k int, b int, bits binary, which binary, first binary, last binary"
-    )
-    none = [F.lit(None).cast("binary").alias(c) for c in ("which", "first", "last")]
-    back = bits.select("k", "b", "bits", *none).unionByName(runs)
+    runs = pieces.groupBy("p").applyInArrow(bucket_rows, "k int, docs binary, starts binary, ends binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
-    return dealt.groupBy("k").cogroup(back.groupBy("k")).applyInArrow(
-        lambda t, b: cleaned(t, b, buckets, dictionary, full), schema
-    )
+    return dealt.groupBy("k").cogroup(runs.groupBy("k")).applyInArrow(lambda t, b: cleaned(t, b, full), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
