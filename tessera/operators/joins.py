@@ -29,6 +29,7 @@ class Band:
     left: tuple[Column, Column]
     right: tuple[Column, Column]
     score: tuple
+    typical: tuple[str, tuple[Column, Column]] | None = None  # an axis of the joined side, and its own range
 
 
 def prefixed(axis: str, df: DataFrame) -> DataFrame:
@@ -74,7 +75,10 @@ def find_band(preds: list[Predicate], joined: set[str], new: str) -> Band | None
             lo = F.greatest(*l1) if len(l1) > 1 else l1[0]
             hi = F.least(*l2) if len(l2) > 1 else l2[0]
             score = (low == high, _alike(low, high), len(lows) + len(highs))
-            found.append(Band((lo, hi), (low.column(), high.column()), score))
+            alone = lambda x: {r[0] for r, _ in x.terms}
+            own = next(((x, y) for x in lows for y in highs if len(alone(x)) == 1 and alone(x) == alone(y)), None)
+            typical = own and (*alone(own[0]), (own[0].column(), own[1].column()))
+            found.append(Band((lo, hi), (low.column(), high.column()), score, typical))
     return max(found, key=lambda b: b.score, default=None)
 
 
@@ -89,9 +93,18 @@ def _spread(df: DataFrame, ends: tuple[Column, Column], name: str) -> DataFrame:
     )
 
 
-def binned_join(left: DataFrame, right: DataFrame, band: Band, condition: Column, width: float | None = None) -> DataFrame:
-    """Inner join on condition, which must imply that the band's ranges meet. Lazy: the widths are a one-row table."""
-    stats = _spread(left, band.left, "l").crossJoin(F.broadcast(_spread(right, band.right, "r")))
+def binned_join(
+    left: DataFrame,
+    right: DataFrame,
+    band: Band,
+    condition: Column,
+    width: float | None = None,
+    base: DataFrame | None = None,
+) -> DataFrame:
+    """Inner join on condition, which must imply that the band's ranges meet. Lazy: the widths are a one-row table. base,
+    if given, holds the band's typical axis: its ranges stand for those of the joined side, which are no wider."""
+    sample, ends = (base, band.typical[1]) if base is not None and band.typical else (left, band.left)
+    stats = _spread(sample, ends, "l").crossJoin(F.broadcast(_spread(right, band.right, "r")))
     low, high = F.least("l_min", "r_min"), F.greatest("l_max", "r_max")
     mean = F.greatest(F.coalesce("l_mean", F.lit(0.0)), F.coalesce("r_mean", F.lit(0.0)), (high - low) / F.lit(float(MOST_BINS)))
     wide = F.lit(float(width)) if width else F.when(mean > 0, mean).otherwise(1.0)
@@ -183,6 +196,7 @@ def join_axes(
         elif keys and strategy != "binned":
             out = out.join(ready[new], reduce(lambda a, b: a & b, [_key(p, new) for p in keys]) & full)
         else:
-            out = binned_join(out, ready[new], band, full, width)
+            base = ready[band.typical[0]] if band.typical else None
+            out = binned_join(out, ready[new], band, full, width, base)
         joined.add(new)
     return out
