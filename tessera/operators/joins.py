@@ -196,6 +196,8 @@ def join_axes(
         elif keys and strategy != "binned":
             out = out.join(ready[new], reduce(lambda a, b: a & b, [_key(p, new) for p in keys]) & full)
         else:
+            if band.score[0]:  # a place between both bounds: without room between them there is none
+                out = out.where(band.left[0] <= band.left[1])
             base = ready[band.typical[0]] if band.typical else None
             out = binned_join(out, ready[new], band, full, width, base)
         joined.add(new)

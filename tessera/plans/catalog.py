@@ -345,14 +345,15 @@ def map_reduce_pp_1d(spark, sf_dir):
 
 
 @query(
-    f"WITH {MONTHS_SQL}, {QUARTERS_SQL} "
-    'SELECT e.event_id AS "E_piece", q.piece AS "Q_piece" FROM (SELECT event_id, epoch_us(ts) AS t FROM events) e '
-    "JOIN quarters q ON t < q.hi * 86400000000 AND q.lo * 86400000000 < t + 3600000000"
+    "WITH e AS (SELECT event_id, epoch_us(ts) AS t FROM events), d AS (SELECT DISTINCT t // 86400000000 AS piece FROM e) "
+    'SELECT event_id AS "E_piece", piece AS "D_piece" FROM e JOIN d ON t < (piece + 1) * 86400000000 '
+    "AND piece * 86400000000 < t + 3600000000"
 )
 def map_reduce_ii_1d(spark, sf_dir):
     e = load(spark, sf_dir, "events", piece="event_id", lo=MICROS.format("ts"))
-    q = _quarters(spark, sf_dir).selectExpr("piece", f"lo * {DAY_US} AS lo", f"hi * {DAY_US} AS hi")
-    return mapping({"E": e.withColumn("hi", F.col("lo") + 60 * MINUTE_US), "Q": q}, ["E", "Q"], ["lo[E] < hi[Q]", "lo[Q] < hi[E]"])
+    d = e.select(F.expr(f"lo div {DAY_US}").alias("piece")).distinct()
+    d = d.withColumns({"lo": F.col("piece") * DAY_US, "hi": (F.col("piece") + 1) * DAY_US})
+    return mapping({"E": e.withColumn("hi", F.col("lo") + 60 * MINUTE_US), "D": d}, ["E", "D"], ["lo[E] < hi[D]", "lo[D] < hi[E]"])
 
 
 @query('SELECT l_orderkey * 10 + l_linenumber AS "L_piece", p_partkey AS "P_piece" FROM lineitem JOIN part ON l_partkey = p_partkey')
