@@ -1,4 +1,4 @@
-"""Cleaning pipeline over ``documents``: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, and
+"""Cleaning pipeline over ``documents``: toxicity, line dedup, near-dedup, benchmark decontamination, and
 SentencePiece encoding. Each stage works on what its predecessor kept, and each is written as Parquet and read again."""
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, prepare, table
 from tessera.llm.decontaminate import keep_uncontaminated
 from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.near_copies import keep_one_near
 from tessera.llm.sentencepiece_codec import encode_documents
-from tessera.llm.simhash_dedup import keep_one
 from tessera.llm.toxicity import keep_clean
 
 
@@ -28,9 +28,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies (similarity 0.8 or more of 5-word shingles) stays, the one with the
+    smallest doc_id."""
     prepare(spark)
-    return keep_one(docs).select(*docs.columns)
+    return keep_one_near(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

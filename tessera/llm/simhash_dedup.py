@@ -13,7 +13,7 @@ are rows of their own with the same id; a null doc_id gets its fingerprint's com
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -202,9 +202,14 @@ def simhash_components(
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
     fps = cut(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    return labelled(fps, lambda distinct: fingerprint_links(distinct, radius))
+
+
+def labelled(fps: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) of fps (doc_id, fp): links gives (u, v) links of the distinct fingerprints."""
     counted = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     distinct = cut(counted, "distinct-fingerprints")
-    roots = components(fingerprint_links(distinct, radius))
+    roots = components(links(distinct))
     in_part = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", "n", F.coalesce("root", "fp").alias("root")
     )
