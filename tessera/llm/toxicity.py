@@ -6,8 +6,10 @@ in how many documents an expression is new). A text's score compares the length-
 classes, and a logistic curve, fitted on scores that the two halves of the training rows give each other, turns it into
 a probability.
 
-Learning uses at most MAX_PER_CLASS labelled rows of each class, those with the least hash of doc_id, from all rows
-whose crc32(doc_id as text) mod 3 is not 1. Scores depend on the text alone.
+Counts are taken over all labelled rows whose crc32(doc_id as text) mod 3 is not 1. They stay on the executors, in
+buckets that hold all nodes below a first prefix; only nodes that can change a feature come to the driver. The logistic
+curve's three weights alone are fitted on at most MAX_PER_CLASS rows of each class, those with the least hash of doc_id.
+Scores depend on the text alone.
 
 Defined cases: a null text is empty; a text without words has the score of a neutral text (likelihood ratio zero).
 Labels that repeat a doc_id count once, as toxic if any is; labels with a null don't count. With no toxic or no
@@ -31,6 +33,9 @@ CUT = 0.7
 PREFIXES = (4, 6, 8)
 DISCOUNT = 0.9
 EVEN = 15
+#: Words of a smaller ratio add nothing to the features.
+LEAST = 2.0
+BUCKETS = 512
 _SALT = [np.uint64(0x1000193 * k + 7) for k in range(1, len(PREFIXES) + 2)]
 
 
@@ -45,35 +50,12 @@ def expressions(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 class Model:
-    """Counts by level: keys sorted, one column of counts for each class, and the link to the level before."""
+    """By level: sorted keys, the log-likelihood ratio of each, and the ratio of what is missing below each node of the
+    level before (the root before the first level)."""
 
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], parents: list[np.ndarray]):
-        self.keys = keys
-        self.llr: list[np.ndarray] = []
-        self.miss: list[np.ndarray] = []
+    def __init__(self, keys: list[np.ndarray], llr: list[np.ndarray], miss: list[np.ndarray]):
+        self.keys, self.llr, self.miss = keys, llr, miss
         self.weights: np.ndarray | None = None
-        total = [x.sum(axis=0, dtype=float) for x in counts]
-        for k, (key, n, parent) in enumerate(zip(keys, counts, parents, strict=True)):
-            n = n.astype(float)
-            if k == 0:
-                up = np.zeros(len(key), np.int64)
-                size, kinds = total[0][None, :], (n > 0).sum(axis=0, dtype=float)[None, :]
-            else:
-                m = len(keys[k - 1])
-                up = np.searchsorted(keys[k - 1], parent)
-                size = np.stack([np.bincount(up, n[:, c], m) for c in (0, 1)], 1)
-                kinds = np.stack([np.bincount(up, n[:, c] > 0, m) for c in (0, 1)], 1)
-            both = n.sum(axis=1)
-            if k == 0:
-                shared = both / max(1.0, both.sum())
-            else:
-                shared = both / np.bincount(up, both, m)[up]
-            top = np.maximum(n - DISCOUNT, 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(size[up] > 0, (top + DISCOUNT * kinds[up] * shared[:, None]) / size[up], shared[:, None])
-                rest = np.where(size > 0, DISCOUNT * kinds / size, 1.0)
-            self.llr.append(np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12)))
-            self.miss.append(np.log(np.maximum(rest[:, 1], 1e-12)) - np.log(np.maximum(rest[:, 0], 1e-12)))
 
     def word_ratios(self, levels: list[np.ndarray]) -> np.ndarray:
         """Log-likelihood ratio (toxic to ordinary) of each word along its prefixes."""
@@ -103,7 +85,7 @@ class Model:
             levels, owner = [x[new] for x in levels], owner[new]
         r = self.word_ratios(levels)
         n = np.bincount(owner, minlength=len(texts)) + EVEN
-        surplus = np.bincount(owner, np.maximum(r - 2.0, 0), len(texts)) / n
+        surplus = np.bincount(owner, np.maximum(r - LEAST, 0), len(texts)) / n
         share = np.bincount(owner, r > 2.5, len(texts)) / n
         return np.log(np.stack([surplus, share], 1) + 0.002)
 
@@ -114,8 +96,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per level: keys, in how many ordinary and toxic texts each is, and the key of the level before."""
+def count(texts: list[bytes], kind: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Per level: keys, in how many texts of each of four kinds each is, the key of the level before, the bucket."""
     levels, owner = expressions(texts)
     parents = [np.zeros(len(owner), np.uint64), *levels[:-1]]
     out = []
@@ -124,13 +106,61 @@ def count(texts: list[bytes], toxic: np.ndarray) -> list[tuple[np.ndarray, np.nd
         k, o = key[order], owner[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        k, o, up = k[new], o[new], parent[order][new]
+        k, o, at = k[new], o[new], order[new]
         keys, first, inv = np.unique(k, return_index=True, return_inverse=True)
-        n = np.stack([np.bincount(inv, toxic[o] == c, len(keys)) for c in (0, 1)], 1)
-        out.append((keys, n, up[first]))
+        n = np.stack([np.bincount(inv, kind[o] == c, len(keys)) for c in range(4)], 1)
+        out.append((keys, n, parent[at[first]], levels[0][at[first]] % np.uint64(BUCKETS)))
     return out
 
 
+def _log_ratio(p: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))
+
+
+def _rest(size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The share that the discount leaves to missing nodes."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(size > 0, DISCOUNT * kinds / size, 1.0)
+
+
+def fit(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Per level (key, ratio, ratio of what is missing below) of the nodes that features can depend on.
+
+    levels holds (sorted keys, counts of the two classes, parents) and all nodes below each first-level key; root holds
+    the first level's sums and numbers of keys over all buckets. A node is needed if a word of a ratio above LEAST ends
+    at it or below it, or if missing it would be taken for an unseen word of such a ratio."""
+    ups, llrs, totals, misses = [], [], [], []
+    for k, (_, n, parent) in enumerate(levels):
+        if k == 0:
+            up, size, kinds, total = np.zeros(len(n), np.int64), root[:1], root[1:], np.zeros(1)
+            weight = np.maximum(1.0, size.sum(axis=1))
+        else:
+            m, total = len(levels[k - 1][0]), totals[-1]
+            up = np.searchsorted(levels[k - 1][0], parent)
+            size = np.stack([np.bincount(up, n[:, c], m) for c in (0, 1)], 1)
+            kinds = np.stack([np.bincount(up, n[:, c] > 0, m) for c in (0, 1)], 1)
+            weight = size.sum(axis=1)
+        shared = n.sum(axis=1) / weight[up]
+        top = np.maximum(n - DISCOUNT, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(size[up] > 0, (top + DISCOUNT * kinds[up] * shared[:, None]) / size[up], shared[:, None])
+        ups.append(up)
+        llrs.append(_log_ratio(p))
+        misses.append(_log_ratio(_rest(size, kinds)))
+        totals.append(total[up] + llrs[-1])
+    reach = totals[-1].copy()
+    out: list[tuple[np.ndarray, ...]] = []
+    for k in range(len(levels) - 1, -1, -1):
+        unseen = (totals[k - 1] if k else np.zeros(1)) + misses[k]
+        need = (reach > LEAST) | (unseen[ups[k]] > LEAST)
+        below = misses[k + 1] if k + 1 < len(levels) else np.zeros(len(need))
+        out.append((levels[k][0][need], llrs[k][need], below[need]))
+        most = unseen.copy()
+        np.maximum.at(most, ups[k], reach)
+        reach = most
+    return out[::-1]
+
+
 def _logistic(f: np.ndarray, y: np.ndarray, each: list[float]) -> np.ndarray:
     """Weights of a ridge logistic regression with bias, by Newton's method. A row counts as many times as it stands
     for labelled rows of its class (each), a toxic one twice that."""
@@ -146,17 +176,52 @@ def _logistic(f: np.ndarray, y: np.ndarray, each: list[float]) -> np.ndarray:
     return w
 
 
-def _model(t: pa.Table) -> Model:
-    """The model of (level, key, parent, n0, n1) rows; rows of one key are added up."""
-    level, key, parent = (t.column(c).to_numpy() for c in ("level", "key", "parent"))
-    n = np.stack([t.column(c).to_numpy() for c in ("n0", "n1")], 1)
+#: Columns of counts: ordinary and toxic texts of the first half, then of the second.
+_COUNTS = ["n0", "n1", "n2", "n3"]
+#: Each model's columns of ordinary and toxic counts: of either half, and of both.
+_MODELS = [([0], [1]), ([2], [3]), ([0, 2], [1, 3])]
+
+
+def _fitted(t: pa.Table, roots: list[np.ndarray]) -> pa.Table:
+    """(model, level, key, llr, below) of the needed nodes of a bucket of (level, key, parent, counts) rows."""
+    level = t.column("level").to_numpy()
+    key, parent = (t.column(c).to_numpy().view(np.uint64) for c in ("key", "parent"))
+    n = np.stack([t.column(c).to_numpy() for c in _COUNTS], 1).astype(float)
+    out = []
+    for m, sides in enumerate(_MODELS):
+        own = np.stack([n[:, c].sum(axis=1) for c in sides], 1)
+        levels = []
+        for k in range(len(PREFIXES) + 1):
+            at = np.flatnonzero((level == k) & (own.sum(axis=1) > 0))
+            at = at[np.argsort(key[at])]
+            levels.append((key[at], own[at], parent[at]))
+        for k, (keys, llr, below) in enumerate(fit(levels, roots[m])):
+            size = len(keys)
+            out.append([np.full(size, m, np.int32), np.full(size, k, np.int32), keys.view(np.int64), llr, below])
+    return pa.table({c: np.concatenate(x) for c, x in zip(("model", "level", "key", "llr", "below"), zip(*out), strict=True)})
+
+
+def _models(counts: DataFrame) -> list[Model]:
+    """The models of both halves and of all rows, from (bucket, level, key, parent, counts) rows of distinct keys."""
+    sums = [F.sum(sum(F.col(_COUNTS[c]) for c in side)) for sides in _MODELS for side in sides]
+    kinds = [F.count(F.when(sum(F.col(_COUNTS[c]) for c in side) > 0, 1)) for sides in _MODELS for side in sides]
+    first = counts.where("level = 0").agg(*[c.alias(f"c{i}") for i, c in enumerate(sums + kinds)]).first()
+    first = np.array([x or 0 for x in first], float).reshape(2, len(_MODELS), 2)
+    roots = [first[:, m] for m in range(len(_MODELS))]
+    schema = "model int, level int, key long, llr double, below double"
+    found = counts.groupBy("bucket").applyInArrow(lambda t: _fitted(t, roots), schema).toArrow()
+    model, level, key, llr, below = (found.column(c).to_numpy() for c in ("model", "level", "key", "llr", "below"))
     out = []
-    for k in range(len(PREFIXES) + 1):
-        at = np.flatnonzero(level == k)
-        keys, first, inv = np.unique(key[at].view(np.uint64), return_index=True, return_inverse=True)
-        sums = np.stack([np.bincount(inv, n[at, c], len(keys)) for c in (0, 1)], 1)
-        out.append((keys, sums, parent[at][first].view(np.uint64)))
-    return Model(*zip(*out, strict=True))
+    for m, root in enumerate(roots):
+        keys, ratios, misses = [], [], [_log_ratio(_rest(root[:1], root[1:]))]
+        for k in range(len(PREFIXES) + 1):
+            at = np.flatnonzero((model == m) & (level == k))
+            at = at[np.argsort(key[at].view(np.uint64))]
+            keys.append(key[at].view(np.uint64))
+            ratios.append(llr[at])
+            misses.append(below[at])
+        out.append(Model(keys, ratios, misses[:-1]))
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,27 +229,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(half, level, key, parent, n0, n1) of a stream of (half, toxic, text) rows."""
+    """(bucket, level, key, parent, counts) of a stream of (half, toxic, text) rows."""
     for b in batches:
         half, toxic = (b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("half", "toxic"))
+        kind = 2 * half + toxic
         at = 0
         for texts in chunked(iter(binary(b, "text")), len):
             part = slice(at, at + len(texts))
             at += len(texts)
-            for h in (0, 1):
-                own = np.flatnonzero(half[part] == h)
-                for k, (keys, n, up) in enumerate(count([texts[i] for i in own], toxic[part][own])):
-                    size = len(keys)
-                    yield pa.record_batch(
-                        [pa.array(np.full(size, x, np.int32)) for x in (h, k)]
-                        + [pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in (keys, up, n[:, 0], n[:, 1])],
-                        ["half", "level", "key", "parent", "n0", "n1"],
-                    )
+            for k, (keys, n, up, bucket) in enumerate(count(texts, kind[part])):
+                cols = [bucket.astype(np.int32), np.full(len(keys), k, np.int32), keys.view(np.int64), up.view(np.int64)]
+                cols += [n[:, c].astype(np.int64) for c in range(4)]
+                yield pa.record_batch([pa.array(x) for x in cols], ["bucket", "level", "key", "parent", *_COUNTS])
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model:
-    """Fits the model on a bounded sample of rows, whole texts. Only the sampled rows' ids are joined with the texts,
-    and counting and scoring them is left to the executors; the driver gets the sums."""
+    """Fits the model: counts over all learnable rows, the logistic weights on at most per_class rows of each class."""
     marked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("__id"))
@@ -193,19 +253,20 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) ->
     there = dict(marked.groupBy("__toxic").count().collect())
     order = [F.xxhash64("__id"), F.col("__id")]
     ids = [r for c in (0, 1) for r in marked.where(F.col("__toxic") == c).orderBy(*order).limit(per_class).collect()]
-    nothing = _model(pa.table({c: pa.array([], pa.int64()) for c in ("level", "key", "parent", "n0", "n1")}))
+    nothing = Model([], [], [])
     if len(there) < 2:
         return nothing
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame(ids, "__id long, __toxic int"))  # at most 2 * per_class rows
     half = F.pmod(F.xxhash64("__id", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    rows = docs.join(few, F.col("doc_id") == F.col("__id")).select(half, F.col("__toxic").alias("toxic"), "text")
-    rows = cut(rows, "toxicity-sample")
-    sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
-    tallies = rows.mapInArrow(_tally, "half int, level int, key long, parent long, n0 long, n1 long")
-    table_ = tallies.groupBy("half", "level", "key").agg(F.min("parent").alias("parent"), *sums).toArrow()
-    by_half = table_.column("half").to_numpy()
-    halves = spark.sparkContext.broadcast([_model(table_.filter(pa.array(by_half == h))) for h in (0, 1)])
+    taken = [half, F.col("__toxic").alias("toxic"), "text"]
+    every = docs.join(marked, F.col("doc_id") == F.col("__id")).select(*taken)
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    tallies = every.mapInArrow(_tally, "bucket int, level int, key long, parent long, n0 long, n1 long, n2 long, n3 long")
+    counts = cut(tallies.groupBy("bucket", "level", "key").agg(F.min("parent").alias("parent"), *sums), "toxicity-counts")
+    *pair, model = _models(counts)
+    halves = spark.sparkContext.broadcast(pair)
+    rows = docs.join(few, F.col("doc_id") == F.col("__id")).select(*taken)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +283,6 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) ->
     y = seen.column("toxic").to_numpy()
     if len(np.unique(y)) < 2:
         return nothing
-    model = _model(table_)
     each = [there[c] / min(per_class, there[c]) for c in (0, 1)]
     order = np.lexsort((f[:, 1], f[:, 0], y))  # the same sums for any partitioning
     model.weights = _logistic(f[order], y[order], each)

@@ -80,3 +80,46 @@ def test_one_class_gives_no_model(spark):
     docs, labels = frames(spark, rows)
     assert learn(docs, labels).scores([b"a"]).tolist() == [0.0]
     assert learn(docs.limit(0), labels.union(spark.createDataFrame([(99, 0), (98, 0)], labels.schema))).scores([b"a"]).tolist() == [0.0]
+
+
+def test_counts_are_not_sampled(spark):
+    rows = corpus(400)
+    rare = [(1000 + k, "quonzzle " * 3 + "abcde fgh " * 10, 1) for k in range(60)]
+    docs, labels = frames(spark, rows + rare)
+    _, few = frames(spark, rows)
+    # The sampled rows, those with the least hash, are the same without the rare rows that it doesn't hold.
+    ids = [r[0] for r in labels.where("toxic = 1 AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 != 1").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()]
+    own = {k for k, _, _ in rare}
+    unsampled = [k for k in ids[20:] if k in own]
+    docs = docs.where(~docs.doc_id.isin([k for k in ids[:20] if k in own]))
+    assert len(unsampled) > 20
+    text = b"quonzzle abcde quonzzle fgh"
+    assert learn(docs, labels, per_class=20).scores([text])[0] > learn(docs, few, per_class=20).scores([text])[0] + 0.3
+
+
+def test_pruned_nodes_change_no_feature(monkeypatch):
+    import numpy as np
+
+    from tessera.llm import toxicity
+
+    rows = corpus(300)
+    texts, kind = [t.encode() for _, t, _ in rows], np.array([2 * (i % 2) + x for i, _, x in rows])
+
+    def model():
+        tables, first = [], np.zeros((2, 2))
+        for k, (keys, n, up, bucket) in enumerate(toxicity.count(texts, kind)):
+            own = n[:, :2] + n[:, 2:]
+            if k == 0:
+                first = np.stack([own.sum(axis=0), (own > 0).sum(axis=0)]).astype(float)
+            tables.append((keys, own.astype(float), up))
+        fitted = toxicity.fit(tables, first)
+        miss = [toxicity._log_ratio(toxicity._rest(first[:1], first[1:])), *(b for _, _, b in fitted[:-1])]
+        return toxicity.Model([k for k, _, _ in fitted], [r for _, r, _ in fitted], miss)
+
+    less = model()
+    monkeypatch.setattr(toxicity, "LEAST", -np.inf)
+    whole = model()
+    monkeypatch.setattr(toxicity, "LEAST", 2.0)
+    assert sum(map(len, less.keys)) < sum(map(len, whole.keys))
+    unseen = [b"blarghx zzz grumpl vexxo", b"abcde new words", *texts[:100]]
+    assert np.array_equal(less.features(unseen), whole.features(unseen))
