@@ -1,22 +1,32 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field that adds spans.
 
-Base patterns (email, ip, card, phone) are matched in linear time and always stay. The field reads the stretches of a
-text that hold digits, ``@`` or a spelled-out ``at``/``dot``: it scores whole candidate segments (digit grouping,
-checksums, separators, cue words around them) and decodes the best sequence of entities and other tokens by dynamic
-programming, so that boundaries and kinds are chosen jointly. An entity has at most MAX_TOKENS tokens, so decoding is
-linear in the text. It is trained on generated sentences. Segments that touch a base span are no candidates.
-
-Defined cases: null is the empty text; offsets are code points, ends exclusive; rows repeat as in the input.
+Base patterns (email, ip, card, phone) are matched in linear time and always stay. The field scores whole candidate
+segments (digit grouping, checksums, separators, cue words around them) and decodes the best sequence of entities and
+other tokens by dynamic programming, so that boundaries and kinds are chosen jointly. An entity has at most MAX_TOKENS
+tokens, so decoding is linear in the text. It is trained on generated sentences. Segments that touch a base span are no
+candidates.
+
+Tokens that no candidate segment can cover are other tokens in every sequence, so only windows around the places that a
+candidate must hold are cut into tokens: ``@`` or the word ``at`` for an email, a run of digits and separators with four
+digits or more for the other kinds. Windows reach as far as any candidate and its cue words, so the result is that of
+decoding the whole text.
+
+Defined cases: null is the empty text; offsets are code points, ends exclusive; rows repeat as in the input, those that
+repeat a doc_id or have none included; an empty table gives no rows; very long texts are read whole, in linear time; of
+equally good sequences the one with fewer entities at the end wins. Only the two named columns are read, so other
+columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +87,16 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field -------------------------------------------------------------------------------------------------------
 
-_STRETCH = re.compile(r"[0-9@]|[\[( ](?:dot|DOT|at|AT)[\]) ]")
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
-_NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().\-/+]*")
+_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\d")
+_BRACKETS = "()[]<>-_+%"
+#: All that the candidates of kinds made of digits consist of, from the first token one can start with.
+_NUMERIC = re.compile(r"[0-9(+](?:[0-9()\-./+]|\s(?=[0-9()\-./+]))*")
+#: What each email candidate holds, and what must follow: one label, then a dot in any notation. A label of 200
+#: characters or more isn't looked through here.
+_AT = re.compile(r"@|(?<![^\W\d_])[aA][tT](?![^\W\d_])")
+_AFTER = re.compile(
+    r"[\s()\[\]<>_+%-]*+(?:[^\s.]{200}|[^\s.]{0,200}?dot|[^\s.]{0,200}+[\s()\[\]<>_+%-]*+(?:\.|dot))", re.IGNORECASE
+)
 CUES = {
     "email": ("mail", "email", "e", "contact", "write", "reach", "inbox"),
     "ip": ("ip", "host", "server", "address", "addr", "client", "from"),
@@ -87,6 +104,7 @@ CUES = {
     "phone": ("call", "tel", "phone", "mobile", "fax", "cell", "ring", "sms", "dial"),
 }
 _CUE = {w: kind for kind, ws in CUES.items() for w in ws}
+TOPS = ("com", "org", "net", "edu", "io", "de", "fr", "es", "uk")
 
 
 def tokens_of(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
@@ -139,32 +157,46 @@ def segments(text: str, tokens: list) -> list[tuple[int, int, str, list[str]]]:
                 out += [(i, j + 1, k, feats) for k in kinds]
         elif t[0].isalnum() and (i == 0 or tokens[i - 1][2] < a or tokens[i - 1][0] in "<([:,;"):
             at = dots = spaces = 0
-            spelled = False
+            spelled = stop = parted = False
+            last = "label"  # what the last token besides brackets was
             for j in range(i + 1, min(n, i + MAX_TOKENS)):
                 u, ua, ub = tokens[j]
                 low = u.lower()
-                spaces += ua > tokens[j - 1][2]
+                gap = ua > tokens[j - 1][2]
+                spaces += gap
+                parted = last == "label" and (parted or gap)
                 if low in ("at", "@") and not at:
-                    at, spelled = j, spelled or low == "at"
+                    at, spelled, last = j, spelled or low == "at", "mark"
                 elif low in (".", "dot"):
-                    dots += bool(at)
+                    dots += bool(at) and last == "label"
                     spelled = spelled or low == "dot"
+                    # A dot that ends a sentence: a space behind it and none before.
+                    stop = stop or (low == "." and not gap and j + 1 < n and tokens[j + 1][1] > ub)
+                    last = "mark"
                 elif u[0].isalnum():
                     if at and dots and j > at + 1 and tokens[j - 1][0].lower() in (".", "dot", ")", "]"):
                         feats = [
                             "bias", f"dots{min(dots, 4)}", f"spelled{spelled}", f"spaces{min(spaces, 8)}",
                             f"local{min(at - i, 4)}", f"tail{min(len(u), 5)}{u.isalpha()}", f"cue_{_cue(tokens, i)}",
-                            f"pair{spelled}{low in ('com', 'org', 'net', 'edu', 'io', 'de', 'fr', 'es', 'uk')}",
+                            f"pair{spelled}{low in TOPS}", f"stop{stop}", f"stop{stop}{low in TOPS}",
                             f"more{j + 2 < n and tokens[j + 1][0].lower() in ('.', 'dot') and tokens[j + 1][1] - ub <= 1 and tokens[j + 2][1] - tokens[j + 1][2] <= 1 and tokens[j + 2][0].isalpha()}",
                         ]
                         out.append((i, j + 1, "email", feats))
-                    elif not at and spaces:
+                    if spaces and not at or parted:
                         break
-                elif u not in "()[]<>-_+%":
+                    last = "label"
+                elif u not in _BRACKETS:
                     break
     return out
 
 
+def _either(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 class Field:
     """Weights of segment features by kind, and of an entity right after another."""
 
@@ -211,38 +243,38 @@ class Field:
         for j, row in enumerate(ends):
             for i, _, score, s in row:
                 starts[i].append((j, score, s))
-        al = np.full((n + 1, 2), -np.inf)
-        al[0, 0] = 0
+        al = [[-math.inf, -math.inf] for _ in range(n + 1)]
+        al[0][0] = 0.0
         for t in range(1, n + 1):
-            al[t, 0] = np.logaddexp(al[t - 1, 0], al[t - 1, 1])
+            al[t][0] = _either(*al[t - 1])
             for i, _, score, _s in ends[t]:
-                al[t, 1] = np.logaddexp(al[t, 1], np.logaddexp(al[i, 0], al[i, 1] + touch) + score)
-        be = np.full((n + 1, 2), -np.inf)
-        be[n] = 0
+                al[t][1] = _either(al[t][1], _either(al[i][0], al[i][1] + touch) + score)
+        be = [[-math.inf, -math.inf] for _ in range(n)] + [[0.0, 0.0]]
         for t in range(n - 1, -1, -1):
             for y in (0, 1):
-                be[t, y] = be[t + 1, 0]
+                be[t][y] = be[t + 1][0]
                 for j, score, _s in starts[t]:
-                    be[t, y] = np.logaddexp(be[t, y], be[j, 1] + score + touch * y)
-        z = np.logaddexp(al[n, 0], al[n, 1])
+                    be[t][y] = _either(be[t][y], be[j][1] + score + touch * y)
+        z = _either(*al[n])
         truth = 0.0
         gold_ends = {segs[s][1] for s in gold}
         for j, row in enumerate(ends):
             for i, kind, score, s in row:
-                p = float(np.exp(np.logaddexp(al[i, 0], al[i, 1] + touch) + score + be[j, 1] - z))
-                p1 = float(np.exp(al[i, 1] + touch + score + be[j, 1] - z))
+                p = math.exp(_either(al[i][0], al[i][1] + touch) + score + be[j][1] - z)
+                p1 = math.exp(al[i][1] + touch + score + be[j][1] - z)
                 d = (s in gold) - p
                 grad["touch"] += (s in gold and i in gold_ends) - p1
                 truth += (score + touch * (i in gold_ends)) * (s in gold)
                 for f in segs[s][3]:
                     grad[f"{kind}|{f}"] += d
-        return truth - float(z)
+        return truth - z
 
 
 _WORDS = "the of then order about please and note that number was sent today room total invoice see page items we is for with".split()
+_PLACES = "home noon work once night least hand dawn sea ten school first last it him them that me dusk table".split()
 
 
-def examples(count: int = 700, seed: int = 11) -> Iterator[tuple[str, list[Span]]]:
+def examples(count: int = 1000, seed: int = 11) -> Iterator[tuple[str, list[Span]]]:
     """Generated sentences with their personal data: all kinds in several notations, and look-alikes."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -260,7 +292,15 @@ def examples(count: int = 700, seed: int = 11) -> Iterator[tuple[str, list[Span]
 
     def email() -> str:
         who, at, top = r.choice(("jo.lee", "ann", "max22", "k_r", "oi.78", "info")), r.choice(("mail", "corp", "example", "uni")), r.choice(("com", "org", "net", "de"))
-        return r.choice((f"{who}@{at}.{top}", f"{who} at {at} dot {top}", f"{who} [at] {at} [dot] {top}", f"{who}(at){at}.{top}", f"{who} (at) {at} (dot) {top}", f"{who} @ {at}.{top}"))
+        plain = (f"{who}@{at}.{top}", f"{who}(at){at}.{top}", f"{who} (at) {at}.{top}", f"{who} at {at}.{top}", f"{who} [at] {at}.{top}")
+        said = r.choice((*plain, f"{who} at {at} dot {top}", f"{who} [at] {at} [dot] {top}", f"{who} (at) {at} (dot) {top}", f"{who} @ {at}.{top}"))
+        return r.choice((said, said, said, said.title(), said.upper()))
+
+    def prose() -> str:
+        """An ordinary 'at', before the end of a sentence as often as not."""
+        verb, where = r.choice(("look", "met", "arrived", "stay", "aimed", "sold", "good", "was")), r.choice(_WORDS + _PLACES)
+        end, then = r.choice((".", ".", ",", ". .", "")), r.choice(_WORDS)
+        return r.choice((f"{verb} at {where}{end} {then}", f"{verb} at {where}{end} {then.title()}", f"{verb} at {where}.", f"{verb} at {where} {then}. {then}"))
 
     octet = lambda: str(r.randrange(256))
     makers = {
@@ -269,7 +309,7 @@ def examples(count: int = 700, seed: int = 11) -> Iterator[tuple[str, list[Span]
         "none": lambda: r.choice((
             f"20{num(2)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", f"v{num(1)}.{num(1)}.{num(2)}.{num(4)}", num(8), f"#{num(9)}",
             f"{num(3)}.{num(3)}.{num(3)},{num(2)}", num(16), f"{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(1)}", f"{r.randrange(1, 24)}:{num(2)}:{num(2)}",
-            f"{num(2)} / {num(4)}", "look at it dot by dot", f"{num(5)}-{num(5)}-{num(5)}", f"{num(4)} {num(4)}", f"{num(2)}.{num(2)}.20{num(2)}", f"x = {num(3)}.{num(4)}", f"{num(12)}", f"300.{octet()}.999.{octet()}",
+            f"{num(2)} / {num(4)}", "look at it dot by dot", prose(), prose(), prose(), prose(), prose(), f"{num(5)}-{num(5)}-{num(5)}", f"{num(4)} {num(4)}", f"{num(2)}.{num(2)}.20{num(2)}", f"x = {num(3)}.{num(4)}", f"{num(12)}", f"300.{octet()}.999.{octet()}",
         )),
     }
     for _ in range(count):
@@ -310,16 +350,42 @@ def trained(rounds: int = 40, rate: float = 0.5, ridge: float = 0.002) -> Field:
     return field
 
 
-def stretches(text: str, around: int = 48) -> Iterator[tuple[int, int]]:
-    """Parts of the text near digits, @ and spelled-out marks; each is cut at white space."""
+def _back(text: str, at: int, count: int) -> int:
+    """The start of the count-th token before at, which is where a token starts."""
+    size = 16 * count
+    while True:
+        low = max(0, at - size)
+        starts = [m.start() for m in _TOKEN.finditer(text, low, at)]
+        if len(starts) > count:  # the first one may be cut
+            return starts[-count]
+        if low == 0:
+            return 0
+        size *= 4
+
+
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of the text, at ends of tokens, that hold all candidate segments and the cue words before them."""
+    found: list[list[int]] = []
+    for m in _NUMERIC.finditer(text):
+        if m.end() - m.start() >= 4 and sum(map(m.group().count, "0123456789")) >= 4:
+            found.append([_back(text, m.start(), 3), m.end()])
+    last = None
+    for m in _AT.finditer(text):
+        if _AFTER.match(text, m.end()):
+            end = m.end()
+            for t in islice(_TOKEN.finditer(text, end), MAX_TOKENS + 2):
+                end = t.end()
+            if last and m.start() <= last[1]:
+                last[1] = end
+            else:
+                found.append(last := [_back(text, m.start(), MAX_TOKENS + 3), end])
     start = end = -1
-    for m in _STRETCH.finditer(text):
-        a, b = m.start() - around, m.end() + around
-        if end < 0 or a > end:
+    for a, b in sorted(found):
+        if a > end:
             if end >= 0:
                 yield start, end
-            start = max(0, a)
-        end = min(len(text), b)
+            start = a
+        end = max(end, b)
     if end >= 0:
         yield start, end
 
@@ -330,14 +396,7 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     busy = np.zeros(len(text) + 1, bool) if base else None
     for _, s, e in base:
         busy[s:e] = True
-    for a, b in stretches(text):
-        while a > 0 and not text[a - 1].isspace() and text[a].isalnum() and text[a - 1].isalnum():
-            a -= 1
-        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
-            b += 1
-        part = text[a:b]
-        if sum(map(str.isdigit, part)) < 4 and "@" not in part and "dot" not in part.lower():
-            continue
+    for a, b in windows(text):
         tokens = tokens_of(text, a, b)
         segs = segments(text, tokens)
         if busy is not None:
@@ -346,7 +405,7 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
             for n in field.decode(len(tokens), segs):
                 i, j, kind, _ = segs[n]
                 out.append((kind, tokens[i][1], tokens[j - 1][2]))
-    return sorted(set(out), key=lambda x: (KINDS.index(x[0]), x[1]))
+    return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 def joined(spans: list[Span]) -> str:
