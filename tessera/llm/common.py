@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A table of so many rows of two or three numbers is small enough to broadcast (some 50 MB as a hash table).
+BROADCAST_ROWS = 500_000
 #: Bytes of text that a Python worker works on at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
@@ -70,6 +72,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def limited(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast join if it has BROADCAST_ROWS rows or fewer; a larger one is left to a sort-merge join.
+    df is read to be counted, so it should be a written table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only; the built-in lower() serves where all characters are ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -51,9 +51,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[: len(words) - shingle + 1].tolist()
-    total = np.zeros(64, np.int64)
     slices = (joined[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True))
-    h = np.fromiter(map(_xxh, slices), np.uint64, len(starts))
+    return majority(np.fromiter(map(_xxh, slices), np.uint64, len(starts)))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero if there are none."""
+    total = np.zeros(64, np.int64)
     for part in range(0, len(h), 100_000):
         total += np.unpackbits(h[part : part + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
             axis=0, dtype=np.int64

@@ -1,6 +1,7 @@
 import brute
 import duckdb
 import pytest
+from test_near_copies import components
 
 import corpus_pipeline
 from tessera.llm.queries import ORACLES, QUERIES
@@ -24,9 +25,8 @@ def test_each_stage_against_a_plain_version(spark, data_dir):
         if name == "line_dedup":
             want = [(i, t) for i, _, _, t in brute.line_dedup(want)]
         elif name == "near_dedup":
-            fps = [(i, brute.fingerprint(t)) for i, t in want]
-            comp = brute.components(fps)
-            want = [r for r, (i, f) in zip(want, fps) if comp[f] == i]
+            comp = components(want)
+            want = [(i, t) for i, t in want if comp[t] == i]
         elif name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
             # An exact copy of an item, folded, is a leak; light edits are covered by the operator's own tests.
