@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: A table of so many rows of two or three numbers is small enough to broadcast (some 50 MB as a hash table).
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a Python worker works on at once; one longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:

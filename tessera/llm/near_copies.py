@@ -5,13 +5,13 @@ are one node. Vantage-point trees (``simhash_dedup``) link SimHash fingerprints
 Jaccard similarity of the sets decides on each link. A radius that covers a similarity of 0.8 would prune nothing, so the
 links beyond RADIUS are found in an exact way: in an order of shingles that is the same for all texts, two sets of
 similarity 0.8 or more share one of the first n // 5 + 1 shingles of each (n being the set's size). An equi-join on those
-prefixes finds every pair; set sizes and the places of the shared shingle rule pairs out without loss, and the sizes of
-whole intersections decide.
+prefixes finds every pair; set sizes, the places of the shared shingle and bitmaps of the sets' parities rule pairs out
+without loss, and the sizes of whole intersections decide.
 
 The order puts shingles last that are frequent in a sample of about SAMPLE_DOCS documents (at most FREQUENT shingles), so
 passages that many texts share are no prefix of texts that hold more than them. Any order gives the same result.
 
-A large group of near copies isn't compared in full: links of the trees, and of each node with the one that is the least
+A large group of near copies isn't compared in full: links of the trees, and of each node with the one at the centre
 of most of its prefix shingles, come first; then only nodes of different components are compared.
 
 Defined cases: a text of up to five words is one shingle; texts without words (null or empty) are equal; rows that repeat a
@@ -41,6 +41,8 @@ SHINGLE = 5
 RADIUS = 2
 SAMPLE_DOCS = 10_000
 FREQUENT = 500_000
+#: Longs of the bitmap that rules pairs out.
+MAPS = 4
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
@@ -78,6 +80,16 @@ def prefixes(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray]) ->
     return [token[e - n : e - n + n // 5 + 1] if n else token[:0] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """MAPS longs for each set: bit k is the parity of the number of its shingles that fall on k. Bits that differ between
+    two sets are at most as many as shingles that only one of them has."""
+    size = np.array([len(s) for s in sets], np.int64)
+    token = np.concatenate([*sets, np.zeros(0, np.int64)])
+    place = np.repeat(np.arange(len(sets)), size) * 64 * MAPS + (token.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * MAPS)
+    odd = np.bincount(place, minlength=len(sets) * 64 * MAPS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sets), MAPS)
+
+
 def _ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
 
@@ -123,7 +135,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, fp, n, prefix): node identifies the set, fp is its fingerprint, n its size."""
+    """(doc_id, node, fp, n, prefix, bitmap): node identifies the set, fp is its fingerprint, n its size."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))  # at most FREQUENT pairs of longs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +145,12 @@ def _rows(docs: DataFrame) -> DataFrame:
             columns = [
                 pa.array([i for i, _ in rows], pa.int64()), pa.array(_ids(sets)), pa.array(fps),
                 pa.array([len(s) for s in sets], pa.int32()), _lists(prefixes(sets, frequent.value)),
+                *(pa.array(np.ascontiguousarray(x)) for x in bitmaps(sets).T),
             ]
-            yield pa.record_batch(columns, ["doc_id", "node", "fp", "n", "prefix"])
+            yield pa.record_batch(columns, ["doc_id", "node", "fp", "n", "prefix", *_BITS])
 
-    return _source(docs).mapInArrow(run, "doc_id long, node long, fp long, n int, prefix array<long>")
+    bits = "".join(f", {c} long" for c in _BITS)
+    return _source(docs).mapInArrow(run, f"doc_id long, node long, fp long, n int, prefix array<long>{bits}")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -160,6 +174,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) ->
     return links
 
 
+_BITS = [f"b{k}" for k in range(MAPS)]
+#: Sets of similarity 0.8 differ in at most a ninth of their sizes' sum; bitmaps don't differ in more.
+_LIKE = f"9 * ({' + '.join(f'bit_count(u{b} ^ v{b})' for b in _BITS)}) <= nu + nv"
 #: Of a shared shingle's places in two sets: shingles before and after it can be common only as far as both sets have them.
 _CAN = "9 * (least(pu, pv) + least(nu - pu, nv - pv)) >= 4 * (nu + nv)"
 
@@ -175,32 +192,42 @@ def _tree_links(nodes: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (doc_id, node, fp, n, prefix) of docs -> links (u, v) that span the components of similar nodes."""
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
-    nodes = cut(nodes, "near-nodes")
+    same = [F.first(c).alias(c) for c in ("n", "fp", *_BITS)]
+    nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *same), "near-nodes")
     reps = nodes.select("node", "doc_id")
     # One row of each node: the others hold the same set.
     sets = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    posts = cut(postings.join(shared.select("token", "lo"), "token"), "near-postings")
-    a = posts.where("node != lo").select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("pos").alias("pu"))
-    b = posts.where("node = lo").select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    posts = cut(postings.join(shared, "token"), "near-postings")
+    # The centre of a shingle's nodes is the one whose shingles the most nodes share: the least edited of near copies.
+    weights = posts.groupBy("node").agg(F.sum("df").alias("w"))
+    centre = posts.select("token", "node").join(weights, "node").groupBy("token").agg(F.max(F.struct("w", "node")).alias("best"))
+    near = posts.join(centre.select("token", F.col("best.node").alias("lo")), "token")
+    a = near.where("node != lo").select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("pos").alias("pu"))
+    b = near.where("node = lo").select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"))
     seen = a.join(b, "token").where(F.expr(_CAN)).groupBy("u", "v").agg(F.count("*").alias("c"), F.first("nu").alias("n"))
     # The best centre alone, if a quarter of the prefix is shared with it; what that leaves out is compared below.
     place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v"))
     best = seen.where("20 * c >= n").withColumn("place", place).where("place = 1").select("u", "v")
-    stars = cut(best.union(_tree_links(nodes.select("node", "fp"))).distinct(), "near-stars")
+    sides = [
+        nodes.select(F.col("node").alias(y), F.col("n").alias(f"n{y}"), *(F.col(c).alias(f"{y}{c}") for c in _BITS)) for y in ("u", "v")
+    ]
+    stars = best.union(_tree_links(nodes.select("node", "fp"))).distinct()
+    stars = cut(stars.join(sides[0], "u").join(sides[1], "v").where(F.expr(_LIKE)).select("u", "v"), "near-stars")
     links = _verified(stars, reps, docs, "near-links")
     known = components(links)
-    part = posts.join(known, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("c"))
+    of = nodes.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("c"), *_BITS)
+    part = posts.select("token", "node", "n", "pos").join(of, "node")
     mixed = part.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     part = cut(part.join(mixed, "token"), "near-parts")
     remove(docs.sparkSession, posts._tessera_path)
+    names = {"node": "", "n": "n", "pos": "p", "c": "c"}
     a, b = (
-        part.select("token", *(F.col(old).alias(f"{new}{y}") for old, new in (("node", ""), ("n", "n"), ("pos", "p"), ("c", "c"))))
+        part.select("token", *(F.col(c).alias(f"{x}{y}") for c, x in names.items()), *(F.col(c).alias(f"{y}{c}") for c in _BITS))
         for y in ("u", "v")
     )
-    pairs = a.join(b, "token").where((F.col("cu") > F.col("cv")) & F.expr(_CAN))
+    pairs = a.join(b, "token").where((F.col("cu") > F.col("cv")) & F.expr(_CAN) & F.expr(_LIKE))
     # Common shingles up to the end of the shorter-reaching prefix are all counted here, the rest lies behind a prefix.
     full = F.expr("9 * (c + greatest(nu - floor(nu / 5), nv - floor(nv / 5)) - 1) >= 4 * (nu + nv)")
     pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c")).where(full).select("u", "v")

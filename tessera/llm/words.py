@@ -10,7 +10,7 @@ _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     p, q = np.full(n, _B, np.uint64), np.full(n, _INV, np.uint64)
@@ -35,7 +35,10 @@ class Hasher:
         n = len(data)
         self.pow, self.inv = _powers(_room(n + 1))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.pow[:n], out=self.sums[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= self.pow[:n]
+        np.cumsum(terms, out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inv[start])

@@ -4,7 +4,7 @@ import re
 import brute
 
 import corpus_pipeline
-from tessera.llm.near_copies import keep_one_near, near_components, shingle_sets
+from tessera.llm.near_copies import MAPS, bitmaps, keep_one_near, near_components, prefixes, shingle_sets
 
 
 def grams(text, shingle=5):
@@ -66,6 +66,30 @@ def test_sets():
             assert len(set(x.tolist()) & set(y.tolist())) == len(grams(a) & grams(b))
 
 
+def test_prefixes_and_bitmaps_lose_no_pair():
+    import numpy as np
+
+    r = random.Random(11)
+    texts = ["", "one two"]
+    for _ in range(12):
+        base = [f"w{r.randrange(60)}" for _ in range(r.randrange(8, 120))]
+        texts += [edited(r, base, r.randrange(len(base) // 8 + 1)) for _ in range(6)]
+    sets = shingle_sets([t.encode() for t in texts])
+    tokens = np.unique(np.concatenate(sets))
+    times = np.array([r.randrange(1, 9) for _ in range(len(tokens) // 2)])
+    for keys in (tokens[: len(times)], tokens[:0]):
+        pre, maps, found = prefixes(sets, (keys, times[: len(keys)])), bitmaps(sets), 0
+        assert maps.shape == (len(sets), MAPS)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both, apart = len(np.intersect1d(a, sets[j])), len(np.setxor1d(a, sets[j]))
+                assert np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).sum() <= apart
+                if len(a) and 10 * both >= 8 * len(np.union1d(a, sets[j])):
+                    assert set(pre[i].tolist()) & set(pre[j].tolist())
+                    found += 1
+        assert found > 20
+
+
 def test_components_against_all_pairs(spark):
     for seed in (7, 8):
         rows = docs_of(random.Random(seed))
