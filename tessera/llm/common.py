@@ -22,9 +22,12 @@ CHUNK_BYTES = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Turns Parquet's vectored reads off, which keep a direct buffer as large as a column chunk for each I/O thread, and
-    sends this package to the Python workers, once for each Spark context."""
+    """Turns Parquet's vectored reads off, which keep a direct buffer as large as a column chunk for each I/O thread,
+    makes batches for Python small unless the session has a size of its own, and sends this package to the Python workers,
+    once for each Spark context."""
     spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_tessera_shipped", None) is None:
         package = Path(__file__).resolve().parents[1]

@@ -10,16 +10,19 @@ _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _computed(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     p, q = np.full(n, _B, np.uint64), np.full(n, _INV, np.uint64)
     p[0] = q[0] = 1
     return np.cumprod(p), np.cumprod(q)
 
 
-def _room(n: int) -> int:
-    return 1 << max(16, int(n).bit_length())
+_kept = functools.lru_cache(maxsize=1)(_computed)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers for n places; those of a usual chunk are kept, those of a very long text are not."""
+    return _kept(1 << 21) if n <= 1 << 21 else _computed(n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,7 +36,7 @@ class Hasher:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.pow, self.inv = _powers(_room(n + 1))
+        self.pow, self.inv = _powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         terms = data.astype(np.uint64)
         terms += np.uint64(1)

@@ -71,7 +71,7 @@ def test_prefixes_and_bitmaps_lose_no_pair():
 
     r = random.Random(11)
     texts = ["", "one two"]
-    for _ in range(12):
+    for _ in range(30):
         base = [f"w{r.randrange(60)}" for _ in range(r.randrange(8, 120))]
         texts += [edited(r, base, r.randrange(len(base) // 8 + 1)) for _ in range(6)]
     sets = shingle_sets([t.encode() for t in texts])
