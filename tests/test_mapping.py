@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -131,3 +132,26 @@ def test_notation():
     assert [output_bounds(c) for c in (["[)", "[]"], ["(]", "[]"], ["()", "[]"], ["[]", "P"], ["[)", "(]"])] == ["[)", "(]", "()", "P", "()"]
     p = parse_predicate("2 * (a[A] - 1) < -b[B] / 4")
     assert dict(p.linear.terms) == {("A", "a"): 2.0, ("B", "b"): 0.25} and p.linear.const == -2.0
+
+
+def test_many_short_ranges_and_a_few_wide_ones(spark):
+    """Neither a ceiling on bins nor a few wide ranges makes short ranges meet in crowded bins."""
+    n = 300_000
+    short = spark.range(n).selectExpr("id AS piece", "id * 1.0 AS lo", "id + 0.75 AS hi")
+    other = spark.range(n).selectExpr("id AS piece", "id + 0.5 AS lo", "id + 1.25 AS hi")
+    wide = spark.range(n, n + 3).selectExpr("id AS piece", f"(id - {n}) * 1000.0 AS lo", f"{n} * 1.0 AS hi")
+    where = ["lo[A] < hi[B]", "lo[B] < hi[A]"]
+    start = time.perf_counter()
+    got = mapping({"A": short.union(wide), "B": other}, ["A", "B"], where)
+    # Each short range meets two neighbours (the first one only one), each wide one all that start after its start.
+    assert got.count() == 2 * n - 1 + 3 * n - sum(max(0, k * 1000 - 1) for k in range(3))
+    assert time.perf_counter() - start < 60
+
+
+def test_levels_against_all_pairs(spark):
+    r = random.Random(6)
+    for _ in range(3):
+        size = lambda: 10.0 ** r.randrange(-6, 7) * r.choice((0.0, 1.0, r.random()))
+        rows = lambda n: [(x := r.uniform(-1, 1) * 10.0 ** r.randrange(-3, 4), x + size()) for _ in range(n)]
+        a, b = (frame(spark, rows(60), "lo", "hi") for _ in "ab")
+        compare(spark, {"A": a, "B": b}, ["A", "B"], ["lo[A] <= hi[B]", "lo[B] <= hi[A]"], ["auto"])
