@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.joins import Band, binned_join
+from tessera.operators.store import stored
 from tessera.sources.pieces import Axis, PieceTable
 
 MODES = ("gated", "always", "never")
@@ -46,13 +47,26 @@ def overlap_exists(table: PieceTable, width: float | None = None) -> DataFrame:
     return twice(pairs.limit(1)).union(copies).agg(F.bool_or("overlap").alias("overlap"))
 
 
+def _position(c: str, kind: T.DataType) -> Column:
+    """A breakpoint's place on the axis as a double: times as days or microseconds."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    return F.col(c).cast("double")
+
+
 def ranked(places: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct numbers ``__b`` with their rank ``__r`` (from 1), the next larger one ``__next`` and, for each column of
-    sums, its running total. Places are dealt into SLICES equal slices of their span; each slice is sorted by itself, and
-    only one row for each slice is put in order in one task."""
-    span = places.agg(F.min("__b").cast("double").alias("__low"), F.max("__b").cast("double").alias("__high"))
-    at = (F.col("__b").cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.lit(float(SLICES))
-    slice_ = F.when(F.col("__high") > F.col("__low"), F.floor(at)).otherwise(0)
+    """Distinct breakpoints ``__b`` with their rank ``__r`` (from 1), the next larger one ``__next`` and, for each column of
+    sums, its running total. Places are dealt into SLICES equal slices of their finite span; each slice is sorted by itself,
+    and only one row for each slice is put in order in one task."""
+    at = _position("__b", places.schema["__b"].dataType)
+    finite = F.when(F.abs(at) < float("inf"), at)
+    span = places.agg(F.min(finite).alias("__low"), F.max(finite).alias("__high"))
+    part = (F.greatest(F.least(at, "__high"), F.col("__low")) - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    slice_ = F.when(F.col("__high") > F.col("__low"), F.floor(part * F.lit(float(SLICES)))).otherwise(0)
+    # Endless ends have slices of their own.
+    slice_ = F.when(at == float("-inf"), -1).when((at == float("inf")) | F.isnan(at), SLICES + 1).otherwise(slice_)
     dealt = places.crossJoin(F.broadcast(span)).withColumn("__slice", slice_).drop("__low", "__high")
     heads = dealt.groupBy("__slice").agg(
         F.count("*").alias("__n"), F.min("__b").alias("__min"), *[F.sum(c).alias(f"__t_{c}") for c in sums]
@@ -109,11 +123,7 @@ def grid(table: PieceTable) -> DataFrame:
             keys.append(a.lo)
             continue
         ends = source.select(F.col(a.lo).alias("__b")).union(source.select(F.col(a.hi).alias("__b"))).distinct()
-        if isinstance(types[a.lo], T.NumericType):
-            mark = ranked(ends)
-        else:  # times: one task sorts the axis's distinct breakpoints
-            order = W.orderBy("__b")
-            mark = ends.select("__b", F.row_number().over(order).alias("__r"), F.lead("__b").over(order).alias("__next"))
+        mark = ranked(ends)
         marks.append((a, k, mark))
         for side, c in (("lo", a.lo), ("hi", a.hi)):
             df = df.join(mark.select(F.col("__b").alias(c), F.col("__r").alias(f"__{side}{k}")), c)
@@ -131,16 +141,17 @@ def grid(table: PieceTable) -> DataFrame:
 
 def coalesce(table: PieceTable, mode: str = "gated") -> PieceTable:
     """Equivalent pieces that don't overlap. "gated": unchanged if no two overlap, else all pieces are laid on the
-    grid of all breakpoints; "always": the grid in any case; "never": unchanged. Cells are told apart by their places."""
+    grid of all breakpoints; "always": the grid in any case; "never": unchanged. Cells are told apart by their places.
+
+    Unless mode is "never", the pieces are written to the shared folder, as the gate and the grid read them several times,
+    and the gate is read at once; the grid is lazy."""
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} isn't one of {', '.join(MODES)}")
     if mode == "never" or not table.axes:
         return table
     names = list(dict.fromkeys(c for a in table.axes for c in a.columns))
-    cells = grid(table)
-    if mode == "always":
-        return PieceTable(cells, table.axes, "value", tuple(names))
-    flag = F.broadcast(overlap_exists(table))
-    whole = table.df.select(*names, F.col(table.value).alias("value")).crossJoin(flag).where(~F.col("overlap"))
-    split = cells.select(*names, "value").crossJoin(flag).where("overlap")
-    return PieceTable(whole.unionByName(split).drop("overlap"), table.axes, "value", tuple(names))
+    pieces = stored(table.df.select(*names, F.col(table.value).alias("value")))
+    table = PieceTable(pieces, table.axes, "value", tuple(names))
+    if mode == "gated" and not overlap_exists(table).first()["overlap"]:
+        return table
+    return PieceTable(grid(table), table.axes, "value", tuple(names))

@@ -48,7 +48,8 @@ def contract(
     outer: bool = False,
     width: float | None = None,
 ) -> PieceTable:
-    """Evaluates an index equation such as ``ij,j->i`` over piece tables, lazily.
+    """Evaluates an index equation such as ``ij,j->i`` over piece tables. Joins and sums are lazy up to coalescing, which
+    writes its pieces once; with coalesce="never" nothing but the widths of ranges is read at once.
 
     Values are plain products, not weighted by lengths. Output pieces are told apart by the pieces that carry output
     indices, then made disjoint: coalesce is "gated" (all or nothing, only if two overlap), "always" or "never".
