@@ -55,12 +55,12 @@ def to_rows(table: PieceTable) -> DataFrame:
 
 
 def shares_region(a: str, b: str, axes: tuple[Axis, ...]) -> Column:
-    """Whether the rows of two aliases share a region: touching ends count only where both ends are closed."""
+    """Whether two rows, whose columns begin with a and b, share a region: touching ends count only where both are closed."""
 
     def one(x: Axis) -> Column:
         if x.hi is None:
-            return F.col(f"{a}.{x.lo}") == F.col(f"{b}.{x.lo}")
-        (la, ha), (lb, hb) = ((F.least(f"{s}.{x.lo}", f"{s}.{x.hi}"), F.greatest(f"{s}.{x.lo}", f"{s}.{x.hi}")) for s in (a, b))
+            return F.col(f"{a}{x.lo}") == F.col(f"{b}{x.lo}")
+        (la, ha), (lb, hb) = ((F.least(f"{s}{x.lo}", f"{s}{x.hi}"), F.greatest(f"{s}{x.lo}", f"{s}{x.hi}")) for s in (a, b))
         inside = (la <= hb) & (lb <= ha)
         return inside if x.closed_left and x.closed_right else inside & (la != hb) & (lb != ha)
 
@@ -68,13 +68,26 @@ def shares_region(a: str, b: str, axes: tuple[Axis, ...]) -> Column:
 
 
 def insert_guard(new: PieceTable, held: PieceTable) -> DataFrame:
-    """The new pieces that share no region with a held one."""
+    """The new pieces that share no region with a held one: a join on bins (on keys, where all axes are points) finds the
+    places that are taken, and an anti-join on places drops their pieces."""
+    from tessera.operators.joins import Band, binned_join
+
     if new.bounds != held.bounds:
         raise ValueError("both tables need the same bounds")
-    same = held.df.toDF(*held.df.columns)
-    for mine, theirs in zip((c for a in new.axes for c in a.columns), (c for a in held.axes for c in a.columns), strict=True):
-        same = same.withColumnRenamed(theirs, mine)
-    return new.df.alias("a").join(same.alias("b"), shares_region("a", "b", new.axes), "left_anti")
+    mine = [c for a in new.axes for c in a.columns]
+    theirs = [c for a in held.axes for c in a.columns]
+    one = new.df.select(*[F.col(c).alias(f"l_{c}") for c in dict.fromkeys(mine)]).distinct()
+    two = held.df.select(*[F.col(t).alias(f"r_{m}") for m, t in dict(zip(mine, theirs, strict=True)).items()]).distinct()
+    share = shares_region("l_", "r_", new.axes)
+    ranges = [a for a in new.axes if a.hi is not None]
+    if ranges:
+        ends = lambda s, a: (F.col(f"{s}{a.lo}").cast("double"), F.col(f"{s}{a.hi}").cast("double"))
+        first, *more = [Band(ends("l_", a), ends("r_", a), ()) for a in ranges]
+        both = binned_join(one, two, first, share, more=tuple(more[:2]))
+    else:
+        both = one.join(two, share)
+    taken = both.select(*[c for c in both.columns if c.startswith("l_")]).distinct()
+    return new.df.join(taken, reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in dict.fromkeys(mine)]), "left_anti")
 
 
 def geometry(table: PieceTable) -> DataFrame:

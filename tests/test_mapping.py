@@ -155,3 +155,10 @@ def test_levels_against_all_pairs(spark):
         rows = lambda n: [(x := r.uniform(-1, 1) * 10.0 ** r.randrange(-3, 4), x + size()) for _ in range(n)]
         a, b = (frame(spark, rows(60), "lo", "hi") for _ in "ab")
         compare(spark, {"A": a, "B": b}, ["A", "B"], ["lo[A] <= hi[B]", "lo[B] <= hi[A]"], ["auto"])
+
+
+def test_ids_of_any_type(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "piece string, at double")
+    b = spark.createDataFrame([((1, "k"), 2.0)], "piece struct<n: int, k: string>, at double")
+    (row,) = mapping({"A": a, "B": b}, ["A", "B"], ["at[A] == at[B]"]).collect()
+    assert row["A_piece"] == "y" and tuple(row["B_piece"]) == (1, "k")
