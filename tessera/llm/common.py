@@ -60,15 +60,22 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors don't cost a recomputation."""
+    """Writes df to the shared folder and reads it back, so that lost executors don't cost a recomputation. What nothing
+    removes before goes when the driver's Python ends, if the session is still there."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
+    atexit.register(_leave, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def _leave(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a work folder that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,8 +6,10 @@ run holds gets a row with the counts so far, so a key's newest row has its large
 ``fan`` runs they are merged into one run of the next level.
 
 Defined cases: a null or empty text is one empty line. Rows that repeat a doc_id are one document when documents are
-counted, and each row keeps its own lines. Rows with a null doc_id aren't counted and lose no line. Columns other than
-the two named ones are not looked at.
+counted, and each row keeps its own lines. Rows with a null doc_id aren't counted and lose no line. An empty table gives no
+rows. Of several documents that hold a line the largest doc_id keeps it, there are no ties. Very long texts are read whole.
+Columns other than the two named ones are carried, but for input columns named like an output column (n_lines, n_dropped,
+kept_text), which are left out.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, cut, remove, table, work_path
+from tessera.llm.common import ascii_lower, cut, prepare, remove, table, work_path
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -150,12 +152,15 @@ def dedup_lines(
     spark = docs.sparkSession
     own = runs is None
     runs = runs or LineRuns(spark)
+    prepare(spark)
     hashes = cut(line_hashes(docs, doc_id, text, min_chars), "line-hashes")
-    for k in range(batches):
-        runs.add(hashes if batches == 1 else hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    repeated = cut(runs.repeated(min_docs), "repeated-lines")
-    if own:
-        runs.drop()
+    try:
+        for k in range(batches):
+            runs.add(hashes if batches == 1 else hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        repeated = cut(runs.repeated(min_docs), "repeated-lines")
+    finally:
+        if own:
+            runs.drop()
     total = repeated.agg(F.sum("n_docs").alias("s")).first()["s"] or 0
     # A key with a share of SHARE or more of all occurrences would fill a partition; there are at most 1 / SHARE of them.
     hot = F.col("n_docs") >= max(1.0, total * SHARE)
@@ -187,7 +192,7 @@ def dedup_lines(
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, stays))
     out = joined.withColumn("__kept", kept)
     return out.select(
-        *[docs[c] for c in docs.columns],
+        *[docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"),
         F.array_join("__kept", "\n").alias("kept_text"),

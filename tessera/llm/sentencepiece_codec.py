@@ -2,10 +2,13 @@
 
 The model file's protobuf is read here: pieces with scores and types, the algorithm, byte fallback, and the normaliser.
 From it a tokenizers pipeline is rebuilt: normaliser, metaspace marker, unigram scores or the merges that BPE scores
-imply, byte fallback, and the decoder. Texts are encoded in batches, by ``threads`` threads. Each encoding is verified
-against the sentencepiece library; a text whose ids differ gets that library's ids, and ``parity`` tells.
+imply, byte fallback, and the decoder. Texts are encoded in batches, by ``threads`` threads. Ids are always those of the
+rebuilt pipeline. Unless ``verify`` is off, the sentencepiece library encodes each text too, at some two fifths of the whole
+cost, and ``parity`` tells whether its ids are the same.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; very long texts are one encoding.
+Defined cases: null and empty texts have no ids and decode to the empty text; very long texts are one encoding; repeated
+rows and null ids are rows like others; an empty table gives no rows. Input columns named like an output column are left
+out, all others are carried.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import chunked, table
+from tessera.llm.common import chunked, prepare, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 HIDDEN = "\U0010ffff"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_BYTES = 1_000_000
+#: Threads that encode a batch.
+THREADS = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -132,18 +137,25 @@ def _loaded(path: str, threads: int):
     return build(model, normalise=not marks_only), plain, marks_only
 
 
-def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, threads: int | None = None, ids: bool = True) -> DataFrame:
-    """docs with ids (array of int), n_tokens, decoded, round_trip (decoded equals the text) and parity added.
+def encode_documents(
+    docs: DataFrame, text: str = "text", model: str = MODEL, threads: int | None = None, ids: bool = True, verify: bool = True
+) -> DataFrame:
+    """docs with ids (array of int), n_tokens, decoded, round_trip (decoded equals the text) and parity (null unless
+    verify) added.
 
-    model is a path that all executors can open, or a file that was handed out with addFile. threads is the number of
-    CPUs of a task (spark.task.cpus) unless given. ids=False leaves the
-    arrays and texts out and gives ids_sha256 (of the ids as 32-bit little-endian numbers)."""
+    model is a path that all executors can open, or a file that was handed out with addFile. threads is THREADS, or the
+    number of CPUs of a task (spark.task.cpus) if that is more, unless given. ids=False leaves the arrays and texts out and
+    gives ids_sha256 (of the ids as 32-bit little-endian numbers)."""
     import hashlib
 
-    threads = threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
-    at = docs.columns.index(text)
+    prepare(docs.sparkSession)
+    threads = threads or max(THREADS, int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
+    extra = ["ids", "n_tokens", "decoded"] if ids else ["n_tokens", "ids_sha256"]
     kinds = "ids array<int>, n_tokens long, decoded string" if ids else "n_tokens long, ids_sha256 string"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [kinds, "round_trip boolean, parity boolean"])
+    kept = [k for k, c in enumerate(docs.columns) if c not in (*extra, "round_trip", "parity")]
+    at = docs.columns.index(text)
+    fields = [docs.schema.fields[k] for k in kept]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [kinds, "round_trip boolean, parity boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = model if os.path.exists(model) else SparkFiles.get(os.path.basename(model))
@@ -154,23 +166,19 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL, th
             for rows in chunked(iter(texts), len, BATCH_BYTES):
                 ready = [MARK + t.replace(" ", MARK) if t else t for t in rows] if marks_only else rows
                 encoded = fast.encode_batch_fast(ready, add_special_tokens=False)
-                same, out = [], []
-                for t, e in zip(rows, encoded, strict=True):
-                    want = plain.encode(t)
-                    same.append(e.ids == want)
-                    out.append(want if not same[-1] else e.ids)
+                out = [e.ids for e in encoded]
+                same = [plain.encode(t) == x for t, x in zip(rows, out, strict=True)] if verify else [None] * len(rows)
                 decoded = [fast.decode(x, skip_special_tokens=False) for x in out]
-                cols = [b.column(c).slice(start, len(rows)) for c in range(b.num_columns)]
+                cols = [b.column(c).slice(start, len(rows)) for c in kept]
                 n = pa.array([len(x) for x in out], pa.int64())
                 if ids:
                     cols += [pa.array(out, pa.list_(pa.int32())), n, pa.array(decoded)]
                 else:
                     digest = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in out]
                     cols += [n, pa.array(digest)]
-                cols += [pa.array([t == d for t, d in zip(rows, decoded, strict=True)]), pa.array(same)]
+                cols += [pa.array([t == d for t, d in zip(rows, decoded, strict=True)]), pa.array(same, pa.bool_())]
                 start += len(rows)
-                extra = ["ids", "n_tokens", "decoded"] if ids else ["n_tokens", "ids_sha256"]
-                yield pa.record_batch(cols, [*b.schema.names, *extra, "round_trip", "parity"])
+                yield pa.record_batch(cols, [*(b.schema.names[c] for c in kept), *extra, "round_trip", "parity"])
 
     return docs.mapInArrow(run, schema)
 

@@ -9,7 +9,9 @@ Edits are (start, end, replacement) in code points of the original text. They ar
 an edit that overlaps one further back, or is out of range, is clipped to what is left.
 
 Defined cases: null and empty texts have no leaves and count 0; null edits and edits with a null start are none, a null
-end is the start and a null replacement is empty; rows repeat as in the input.
+end is the start and a null replacement is empty; rows repeat as in the input, null ids included; an empty table gives no
+rows; very long texts are whole trees; of edits that start at one place the shorter comes first. Columns are carried, but
+for the text, the edits, stored trees and input columns named like an output column, which are left out.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import base64
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table
+from tessera.llm.common import prepare, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,6 +65,18 @@ class TokenTree:
         self.text, self.count, self.encoded = text, count, 0
         self._build()
 
+    @classmethod
+    def resume(cls, text: str, leaf_chars: list[int], sums: list[int], count: Callable[[str], int]) -> TokenTree:
+        """The stored tree of a text: nothing is encoded until edits come."""
+        tree = cls.__new__(cls)
+        tree.text, tree.count, tree.encoded, tree.sums = text, count, 0, list(sums)
+        tree.cap = len(tree.sums) // 2
+        tree.ends = list(accumulate(leaf_chars))
+        tree.starts = [0, *tree.ends[:-1]] if tree.ends else []
+        if (tree.ends[-1] if tree.ends else 0) != len(text):
+            raise ValueError("the stored leaves are of another text")
+        return tree
+
     def _build(self) -> None:
         c = cuts(self.text)
         self.starts, self.ends = c[:-1], c[1:]
@@ -156,25 +171,34 @@ def redactions(text: str) -> list[Edit]:
 
 
 def count_edited(
-    docs: DataFrame, edits: str | Callable[[str], list[Edit]], text: str = "text", ranks: str = RANKS, trees: bool = False
+    docs: DataFrame,
+    edits: str | Callable[[str], list[Edit]],
+    text: str = "text",
+    ranks: str = RANKS,
+    trees: bool = False,
+    stored: tuple[str, str] | None = None,
 ) -> DataFrame:
     """docs without the text, and with n_leaves, n_tokens, n_edits, n_tokens_edited and n_chars_reencoded added; with
     trees=True also edited_text, leaf_chars and tree (the segment tree after the edits).
 
-    edits is a column of array<struct<start, end, replacement>>, or a function of the text."""
-    drop = {text} | ({edits} if isinstance(edits, str) else set())
-    kept = [c for c in docs.columns if c not in drop]
+    edits is a column of array<struct<start, end, replacement>>, or a function of the text. stored names the columns of
+    leaf_chars and tree of an earlier run, whose edited_text the text is: only what the edits touch is encoded then. A row
+    whose stored tree is null is encoded whole. Input columns named like an output column are left out."""
+    prepare(docs.sparkSession)
     names = ["n_leaves", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_reencoded"]
     kinds = [pa.int64()] * 5
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} long" for c in names]
+    added = [f"{c} long" for c in names]
     if trees:
         names += ["edited_text", "leaf_chars", "tree"]
         kinds += [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        schema += ["edited_text string", "leaf_chars array<int>", "tree array<int>"]
+        added += ["edited_text string", "leaf_chars array<int>", "tree array<int>"]
+    drop = {text, *names, *(stored or ())} | ({edits} if isinstance(edits, str) else set())
+    kept = [c for c in docs.columns if c not in drop]
+    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + added
     columns = docs.columns
 
-    def one(t: str, given) -> tuple:
-        tree = TokenTree(t, encoder(ranks))
+    def one(t: str, given, leaves=None, sums=None) -> tuple:
+        tree = TokenTree(t, encoder(ranks)) if leaves is None or sums is None else TokenTree.resume(t, leaves, sums, encoder(ranks))
         before, leaves, tree.encoded = tree.total, len(tree.starts), 0
         if callable(edits):
             todo = edits(t)
@@ -191,8 +215,11 @@ def count_edited(
         for b in batches:
             texts = b.column(columns.index(text)).to_pylist()
             given = [None] * len(texts) if callable(edits) else b.column(columns.index(edits)).to_pylist()
+            old = [b.column(columns.index(c)).to_pylist() for c in stored] if stored else [[None] * len(texts)] * 2
             for at in range(0, max(1, len(texts)), 256):
-                found = [one(t or "", g) for t, g in zip(texts[at : at + 256], given[at : at + 256], strict=True)]
+                part = slice(at, at + 256)
+                rows = zip(texts[part], given[part], old[0][part], old[1][part], strict=True)
+                found = [one(t or "", g, leaves, sums) for t, g, leaves, sums in rows]
                 cols = [b.column(columns.index(c)).slice(at, 256) for c in kept]
                 cols += [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
                 yield pa.record_batch(cols, [*kept, *names])

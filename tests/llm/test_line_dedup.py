@@ -56,6 +56,12 @@ def test_clashing_names(spark):
     assert sorted(r["n_dropped"] for r in dedup_lines(df).collect()) == [0, 1, 1, 1]
 
 
+def test_columns_named_like_outputs_are_left_out(spark):
+    df = spark.createDataFrame([(i, LONG, "held") for i in range(4)], "doc_id long, text string, kept_text string")
+    got = dedup_lines(df)
+    assert got.columns.count("kept_text") == 1 and sorted(r["kept_text"] for r in got.collect()) == ["", "", "", LONG]
+
+
 def test_main_path_is_native(spark):
     plan = line_hashes(spark.createDataFrame([(1, LONG)], SCHEMA), "doc_id", "text", 20)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -61,11 +61,38 @@ def test_documents(spark):
     assert encode_documents(df.limit(0)).count() == 0
 
 
-def test_mismatch_takes_the_librarys_ids(spark, monkeypatch):
+def test_parity_tells_of_a_wrong_rebuild(spark, monkeypatch):
+    """With the merges gone the ids are the rebuilt pipeline's own, and parity is false where the library's differ."""
     from tessera.llm import sentencepiece_codec as m
 
-    m._loaded.cache_clear()
     monkeypatch.setattr(m, "merges_of", lambda pieces: [])
-    fast, plain, _ = m._loaded(MODEL, 1)
     m._loaded.cache_clear()
-    assert fast.encode("▁the▁word", add_special_tokens=False).ids != plain.encode("the word")
+    plain = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    fast, _, _ = m._loaded(MODEL, 1)
+    want = fast.encode("▁the▁word", add_special_tokens=False).ids
+    assert want != plain.encode("the word")
+
+    class Here:  # runs what the executors would run, in this process
+        def __init__(self, df):
+            self.columns, self.schema, self.sparkSession = df.columns, df.schema, df.sparkSession
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            import pyarrow as pa
+
+            return pa.Table.from_batches(run(iter([pa.record_batch([pa.array(["the word", "a"])], ["text"])]))).to_pylist()
+
+    df = spark.createDataFrame([("the word",)], "text string")
+    rows = m.encode_documents(Here(df))
+    m._loaded.cache_clear()
+    assert rows[0]["ids"] == want and rows[0]["parity"] is False and [r["text"] for r in rows] == ["the word", "a"]
+
+
+def test_options_and_clashing_names(spark):
+    from tessera.llm import sentencepiece_codec as m
+
+    assert m.THREADS > 1
+    df = spark.createDataFrame([(1, "one two", "x", "y"), (1, "one two", "x", "y")], "doc_id long, text string, ids string, parity string")
+    got = encode_documents(df, verify=False).collect()
+    assert len(got) == 2 and got[0].asDict().keys() == {"doc_id", "text", "ids", "n_tokens", "decoded", "round_trip", "parity"}
+    assert all(r["parity"] is None and r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in got)
+    assert encode_documents(df, threads=4).first()["parity"]

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tessera.llm import token_counts
 from tessera.llm.token_counts import RANKS, TokenTree, count_edited, encoder, redactions
 
@@ -51,3 +53,28 @@ def test_edits_as_a_column(spark):
     got = {r["doc_id"]: r for r in count_edited(df, "edits", trees=True).collect()}
     assert [got[k]["edited_text"] for k in (1, 2, 3)] == ["x def", "abc", "hi"]
     assert all(r["n_tokens_edited"] == count(r["edited_text"]) for r in got.values())
+
+
+def test_stored_trees_encode_edits_alone(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9)))
+    texts = [" ".join(word() for _ in range(4000)), "one two", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = count_edited(df, redactions, trees=True).select("doc_id", "edited_text", "leaf_chars", "tree")
+    again = lambda t: [(len(t) // 2, min(len(t), len(t) // 2 + 3), "new 12 words"), (len(t), len(t), " end")]
+    got = count_edited(first, again, "edited_text", trees=True, stored=("leaf_chars", "tree")).collect()
+    assert len(got) == 4
+    for x in got:
+        assert x["n_tokens_edited"] == count(x["edited_text"]) == x["tree"][1] and x["edited_text"].endswith(" end")
+        assert x["n_chars_reencoded"] < 3000
+    long = next(x for x in got if x["doc_id"] == 0)
+    assert len(long["edited_text"]) > 15_000
+    with pytest.raises(ValueError):
+        TokenTree.resume("longer than it was", [3], [1, 1], count)
+
+
+def test_columns_named_like_outputs_are_left_out(spark):
+    df = spark.createDataFrame([(1, "a b", 9, "x")], "doc_id long, text string, n_tokens int, tree string")
+    got = count_edited(df, redactions, trees=True)
+    assert got.columns.count("n_tokens") == got.columns.count("tree") == 1 and got.first()["n_tokens"] == count("a b")
+    assert count_edited(df, redactions).first()["tree"] == "x"
