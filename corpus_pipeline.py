@@ -22,9 +22,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in one document each; text and n_chars change with them."""
     prepare(spark)
-    kept = dedup_lines(docs)
+    held = {c: f"__held_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    kept = dedup_lines(docs.withColumnsRenamed(held))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return kept.select(*[(new[c] if c in new else F.col(held.get(c, c))).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
