@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +123,14 @@ def build(model: dict, normalise: bool = True):
     return out
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as 32-bit little-endian numbers."""
+    out = array("i", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 @lru_cache(maxsize=2)
 def _loaded(path: str, threads: int):
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -174,7 +183,7 @@ def encode_documents(
                 if ids:
                     cols += [pa.array(out, pa.list_(pa.int32())), n, pa.array(decoded)]
                 else:
-                    digest = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in out]
+                    digest = [hashlib.sha256(little(x)).hexdigest() for x in out]
                     cols += [n, pa.array(digest)]
                 cols += [pa.array([t == d for t, d in zip(rows, decoded, strict=True)]), pa.array(same, pa.bool_())]
                 start += len(rows)
