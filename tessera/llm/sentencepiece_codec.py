@@ -31,8 +31,6 @@ MARK = "▁"
 HIDDEN = "\U0010ffff"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_BYTES = 1_000_000
-#: Threads that encode a batch.
-THREADS = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -152,13 +150,13 @@ def encode_documents(
     """docs with ids (array of int), n_tokens, decoded, round_trip (decoded equals the text) and parity (null unless
     verify) added.
 
-    model is a path that all executors can open, or a file that was handed out with addFile. threads is THREADS, or the
-    number of CPUs of a task (spark.task.cpus) if that is more, unless given. ids=False leaves the arrays and texts out and
+    model is a path that all executors can open, or a file that was handed out with addFile. threads is the number
+    of CPUs that a task is given (spark.task.cpus) unless stated; more of them slow the other tasks of an executor. ids=False leaves the arrays and texts out and
     gives ids_sha256 (of the ids as 32-bit little-endian numbers)."""
     import hashlib
 
     prepare(docs.sparkSession)
-    threads = threads or max(THREADS, int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
+    threads = threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
     extra = ["ids", "n_tokens", "decoded"] if ids else ["n_tokens", "ids_sha256"]
     kinds = "ids array<int>, n_tokens long, decoded string" if ids else "n_tokens long, ids_sha256 string"
     kept = [k for k, c in enumerate(docs.columns) if c not in (*extra, "round_trip", "parity")]

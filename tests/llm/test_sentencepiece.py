@@ -88,11 +88,23 @@ def test_parity_tells_of_a_wrong_rebuild(spark, monkeypatch):
 
 
 def test_options_and_clashing_names(spark):
-    from tessera.llm import sentencepiece_codec as m
-
-    assert m.THREADS > 1
     df = spark.createDataFrame([(1, "one two", "x", "y"), (1, "one two", "x", "y")], "doc_id long, text string, ids string, parity string")
     got = encode_documents(df, verify=False).collect()
     assert len(got) == 2 and got[0].asDict().keys() == {"doc_id", "text", "ids", "n_tokens", "decoded", "round_trip", "parity"}
     assert all(r["parity"] is None and r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in got)
     assert encode_documents(df, threads=4).first()["parity"]
+
+
+def test_threads_encode_alike():
+    import os
+
+    from tessera.llm import sentencepiece_codec as m
+
+    got = []
+    for threads in (1, 3):
+        m._loaded.cache_clear()
+        fast, _, _ = m._loaded(MODEL, threads)
+        assert os.environ["TOKENIZERS_PARALLELISM"] == ("true" if threads > 1 else "false")
+        got.append([e.ids for e in fast.encode_batch_fast(texts(4, 200), add_special_tokens=False)])
+    m._loaded.cache_clear()
+    assert got[0] == got[1]
