@@ -68,7 +68,7 @@ def test_parity_tells_of_a_wrong_rebuild(spark, monkeypatch):
     monkeypatch.setattr(m, "merges_of", lambda pieces: [])
     m._loaded.cache_clear()
     plain = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    fast, _, _ = m._loaded(MODEL, 1)
+    fast, *_ = m._loaded(MODEL, 1)
     want = fast.encode("▁the▁word", add_special_tokens=False).ids
     assert want != plain.encode("the word")
 
@@ -103,8 +103,22 @@ def test_threads_encode_alike():
     got = []
     for threads in (1, 3):
         m._loaded.cache_clear()
-        fast, _, _ = m._loaded(MODEL, threads)
+        fast, *_ = m._loaded(MODEL, threads)
         assert os.environ["TOKENIZERS_PARALLELISM"] == ("true" if threads > 1 else "false")
         got.append([e.ids for e in fast.encode_batch_fast(texts(4, 200), add_special_tokens=False)])
     m._loaded.cache_clear()
     assert got[0] == got[1]
+
+
+def test_words_give_the_ids_of_whole_texts(monkeypatch):
+    from tessera.llm import sentencepiece_codec as m
+
+    monkeypatch.setattr(m, "LONG_WORD", 6)
+    monkeypatch.setattr(m, "WORDS", 40)
+    m._loaded.cache_clear()
+    fast, _, _, coder = m._loaded(MODEL, 1)
+    m._loaded.cache_clear()
+    assert isinstance(coder, m.Words)
+    for seed in range(5, 9):
+        many = [m.MARK + t.replace(" ", m.MARK) if t else t for t in [*texts(seed, 300), "word " * 5000, " " * 400, "a" * 3000]]
+        assert coder.encode(many) == [e.ids for e in fast.encode_batch(many, add_special_tokens=False)]
