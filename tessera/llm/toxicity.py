@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binary, chunked, cut, id_texts, table
+from tessera.llm.common import BROADCAST_ROWS, binary, chunked, cut, id_texts, table
 from tessera.llm.words import Hasher, words
 
 MAX_PER_CLASS = 4000
@@ -260,6 +260,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) ->
     few = F.broadcast(spark.createDataFrame(ids, "__id long, __toxic int"))  # at most 2 * per_class rows
     half = F.pmod(F.xxhash64("__id", F.lit("half")), F.lit(2)).cast("int").alias("half")
     taken = [half, F.col("__toxic").alias("toxic"), "text"]
+    if sum(there.values()) <= BROADCAST_ROWS:  # else a sort-merge join
+        marked = F.broadcast(marked)
     every = docs.join(marked, F.col("doc_id") == F.col("__id")).select(*taken)
     sums = [F.sum(c).alias(c) for c in _COUNTS]
     tallies = every.mapInArrow(_tally, "bucket int, level int, key long, parent long, n0 long, n1 long, n2 long, n3 long")
