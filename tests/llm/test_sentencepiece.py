@@ -3,7 +3,7 @@ import struct
 
 import pytest
 
-from tessera.llm.sentencepiece_codec import BYTE, MODEL, NORMAL, UNKNOWN, build, encode_documents, parse_model
+from tessera.llm.sentencepiece_codec import BYTE, MODEL, NORMAL, UNKNOWN, build, encode_documents, parse_model, short_decoder
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
@@ -48,6 +48,17 @@ def test_parity_with_the_library(data):
     assert [ours.decode(x, skip_special_tokens=False) for x in got] == [plain.decode(x) for x in got]
 
 
+@pytest.mark.parametrize("data", [unigram_model(), open(MODEL, "rb").read()], ids=["unigram", "bpe"])
+def test_short_decoder_decodes_alike(data):
+    model = parse_model(data)
+    ours = build(model)
+    encoded = [e.ids for e in ours.encode_batch([*texts(3), "  two", " ▁ ", "▁"], add_special_tokens=False)]
+    encoded += [[i] for i in range(0, len(model["pieces"]), 7)]
+    want = [ours.decode(x, skip_special_tokens=False) for x in encoded]
+    ours.decoder, finish = short_decoder(model)
+    assert [finish(ours.decode(x, skip_special_tokens=False)) for x in encoded] == want
+
+
 def test_documents(spark):
     plain = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     many = [t.replace("▁", "_") for t in texts(2, 60)] + [None, "", "word " * 100_000]
@@ -68,7 +79,7 @@ def test_parity_tells_of_a_wrong_rebuild(spark, monkeypatch):
     monkeypatch.setattr(m, "merges_of", lambda pieces: [])
     m._loaded.cache_clear()
     plain = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    fast, _, _ = m._loaded(MODEL, 1)
+    fast, *_ = m._loaded(MODEL, 1)
     want = fast.encode("▁the▁word", add_special_tokens=False).ids
     assert want != plain.encode("the word")
 
@@ -103,7 +114,7 @@ def test_threads_encode_alike():
     got = []
     for threads in (1, 3):
         m._loaded.cache_clear()
-        fast, _, _ = m._loaded(MODEL, threads)
+        fast, *_ = m._loaded(MODEL, threads)
         assert os.environ["TOKENIZERS_PARALLELISM"] == ("true" if threads > 1 else "false")
         got.append([e.ids for e in fast.encode_batch_fast(texts(4, 200), add_special_tokens=False)])
     m._loaded.cache_clear()
