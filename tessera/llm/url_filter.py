@@ -4,22 +4,25 @@ The regression is fitted on the driver from a small labelled URL table (url, blo
 it are used, the first by url. Rules come first: a rule fits its host and all subdomains if the url's path starts with
 the rule's path, and the longest rule wins.
 
-Defined cases: a url that is null or has no ``://`` has an empty host and path; rows repeat as they do in the input.
+Defined cases: a url that is null or has no ``://`` has an empty host and path, and its verdict is that of the bias alone;
+urls of any length are judged whole; rows repeat as they do in the input, null page_ids included; of rules of one length
+that fit, the later one of the table wins; an empty table gives no rows. Input columns named host, path, rule, verdict or
+p_block are left out, all others are carried.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, table
+from tessera.llm.common import ascii_lower, chunked, prepare, table
 
 DIMS = 1 << 14
 GRAMS = (3, 4, 5)
 MAX_LABELLED = 5000
+CHUNK_CHARS = 200_000
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 #: (host, path, verdict)
 RULES = (
@@ -30,30 +33,37 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: The small labelled URL table that the query is trained on: (host, path, blocked).
-LABELLED = tuple(
-    (host, path, 1)
-    for host in (
-        "cheap-pills.example.com", "www.cheap-pills.example.net", "buy-pills.example.net", "discount-pharmacy.test",
-        "spam-farm.example.org", "www.spam-farm.example.com", "blog.spam-farm.example.net", "link-farm.test",
-        "free-casino.example.com", "casino-bonus.test", "online-casino-win.test", "poker-bets.test",
-        "adult-videos.test", "xxx-cams.test", "hot-adult-chat.test", "payday-loans.test", "fast-cash-loans.test",
-        "seo-backlinks.test", "buy-followers.test", "replica-watches.test", "free-prize-winner.test",
-        "click-bait-ads.test", "warez-crack-download.test", "keygen-serial.test",
-    )
-    for path in ("/", "/en/120", "/buy-now.html", "/fr/7?utm_source=feed")
-) + tuple(
-    (host, path, 0)
-    for host in (
-        "news.example.com", "www.example.net", "blog.example.com", "m.example.org", "docs.python.test",
-        "university.test", "library.museum.test", "weather.example.net", "recipes.example.com", "history.test",
-        "science-journal.test", "www.cityhall.test", "blog.garden.example.net", "travel.notes.test",
-        "music.archive.test", "www.thering.example.net", "blog.theres.example.com", "m.tiontion.example.net",
-        "ththre.example.com", "ththan.example.net", "therha.example.com", "www.ththen.example.com",
-        "sports.example.net", "health.gov.test",
-    )
-    for path in ("/", "/en/120", "/article.html", "/fr/7?utm_source=feed")
-)
+#: Words of unwanted and of ordinary sites. Both kinds get the same hosts and paths around them, so that only words tell.
+UNWANTED = (
+    "casino poker betting jackpot roulette lottery pills pharmacy viagra steroids loans payday adult xxx porn escort webcams "
+    "warez crack keygen torrent replica spam clickbait malware phishing adware followers backlinks popunder"
+).split()
+ORDINARY = (
+    "news library university museum weather recipes history science travel music sports health garden school journal film "
+    "books forum maps photo theatre law energy climate research family kitchen language council railway"
+).split()
+AROUND = ("online", "best", "my", "daily", "world", "free", "club", "hub", "zone", "top", "city", "central")
+ENDINGS = ("com", "net", "org", "info", "co.uk", "de", "io", "example")
+PATHS = ("/", "/index.html", "/2021/05/17/a-day", "/en/about", "/p/48213", "/shop/cart", "/tag/{w}", "/{w}-guide.html")
+
+
+def labelled_urls() -> tuple[tuple[str, str, int], ...]:
+    """The small labelled URL table that the query is trained on: (host, path, blocked), by rule from the words above.
+    An ordinary host with an unwanted word in its path is blocked too."""
+    out = []
+    for blocked, own, other in ((1, UNWANTED, ORDINARY), (0, ORDINARY, UNWANTED)):
+        for i, w in enumerate(own):
+            for j in range(8):
+                a, end = AROUND[(i + 5 * j) % len(AROUND)], ENDINGS[(3 * i + j) % len(ENDINGS)]
+                name = (w, f"{a}-{w}", f"{w}-{a}", f"{a}{w}", f"{w}{a}", f"{w}{i + 2}", f"{w}.{a}", f"{a}.{w}")[j]
+                host = ("", "www.", "m.", "")[(i + j) % 4] + f"{name}.{end}"
+                out.append((host, PATHS[(i + j) % len(PATHS)].format(w=w), blocked))
+                if not blocked and j % 4 == 0:
+                    out.append((host, ("/buy-{w}", "/{w}/go")[j // 4].format(w=other[i]), 1))
+    return tuple(out)
+
+
+LABELLED = labelled_urls()
 
 
 def host_of(url: Column) -> Column:
@@ -75,13 +85,27 @@ def rule_columns(host: Column, path: Column, rules: tuple) -> tuple[Column, Colu
     return rule, verdict
 
 
-def grams(host: str, path: str) -> list[int]:
-    """Hashed character n-grams of ^host$ and ^path$, a host's apart from a path's."""
-    out = []
-    for mark, s in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in GRAMS:
-            out += [zlib.crc32(f"{mark}{s[k : k + n]}".encode("utf-8", "replace")) % DIMS for k in range(len(s) - n + 1)]
-    return out or [0]
+def grams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed n-gram, index of its url) of all character n-grams of ^host$ and ^path$, a host's apart from a path's."""
+    marked = [f"^{s}$" for s in (*hosts, *paths)]
+    lens = np.fromiter(map(len, marked), np.int64, len(marked))
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked)), lens)
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(chars))
+    found, whose = [], []
+    for size in GRAMS:
+        at = np.flatnonzero(left >= size)
+        h = np.where(owner[at] < len(hosts), np.uint64(size), np.uint64(size + 64))
+        for k in range(size):
+            h = (h ^ chars[at + k]) * _PRIME
+            h ^= h >> np.uint64(32)
+        found.append((h % np.uint64(DIMS)).astype(np.int64))
+        whose.append(owner[at] % max(1, len(hosts)))
+    return np.concatenate(found), np.concatenate(whose)
+
+
+def _scale(owner: np.ndarray, n: int) -> np.ndarray:
+    return 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
 
 
 def fit(rows: list[tuple[str, str, int]], steps: int = 300, rate: float = 4.0, ridge: float = 1e-3) -> np.ndarray:
@@ -89,10 +113,8 @@ def fit(rows: list[tuple[str, str, int]], steps: int = 300, rate: float = 4.0, r
     w = np.zeros(DIMS + 1)
     if not rows:
         return w
-    feats = [grams(h, p) for h, p, _ in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(f) for f in feats])
-    idx = np.concatenate([np.array(f) for f in feats])
-    share = 1 / np.sqrt(np.array([len(f) for f in feats], float))[owner]
+    idx, owner = grams([h for h, *_ in rows], [p for _, p, _ in rows])
+    share = _scale(owner, len(rows))[owner]
     y = np.array([b for *_, b in rows], float)
     for _ in range(steps):
         z = np.bincount(owner, w[idx] * share, len(rows)) + w[-1]
@@ -102,10 +124,21 @@ def fit(rows: list[tuple[str, str, int]], steps: int = 300, rate: float = 4.0, r
     return w
 
 
+def probabilities(w: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """The probability of block of each url; urls are worked on in chunks, as one may be very long."""
+    out = [np.zeros(0)]
+    for part in chunked(zip(hosts, paths, strict=True), lambda r: len(r[0]) + len(r[1]) + 8, CHUNK_CHARS):
+        idx, owner = grams([h for h, _ in part], [p for _, p in part])
+        z = np.bincount(owner, w[idx], len(part)) * _scale(owner, len(part)) + w[-1]
+        out.append(1 / (1 + np.exp(-z)))
+    return np.concatenate(out)
+
+
 def filter_urls(
     pages: DataFrame, url: str = "url", rules: tuple = RULES, labelled: DataFrame | tuple = LABELLED, cut: float = 0.5
 ) -> DataFrame:
     """pages with host, path, rule, verdict and p_block (the model's probability of block) added."""
+    prepare(pages.sparkSession)
     if isinstance(labelled, DataFrame):
         few = labelled.select(
             host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"), F.col("blocked").cast("int").alias("b")
@@ -119,11 +152,7 @@ def filter_urls(
     def p_block(host, path):
         import pandas as pd
 
-        out = np.empty(len(host))
-        for k, (h, p) in enumerate(zip(host, path, strict=True)):
-            g = grams(h, p)
-            out[k] = w[g].sum() / np.sqrt(len(g)) + w[-1]
-        return pd.Series(1 / (1 + np.exp(-out)))
+        return pd.Series(probabilities(w, host.tolist(), path.tolist()))
 
     base = pages.withColumns({"__host": host_of(F.col(url)), "__path": path_of(F.col(url))})
     rule, verdict = rule_columns(F.col("__host"), F.col("__path"), rules)
