@@ -47,11 +47,23 @@ ENDINGS = ("com", "net", "org", "info", "co.uk", "de", "io", "example")
 PATHS = ("/", "/index.html", "/2021/05/17/a-day", "/en/about", "/p/48213", "/shop/cart", "/tag/{w}", "/{w}-guide.html")
 
 
+def made_names(n: int = 60) -> list[str]:
+    """Names of two to four syllables that mean nothing, as most sites have."""
+    out, x = [], 1
+    for k in range(n):
+        name = ""
+        for _ in range(2 + k % 3):
+            x = x * 16807 % 2147483647
+            name += "bdfgklmnprstvz"[x % 14] + "aeiou"[x // 14 % 5] + ("", "n", "r", "s", "")[x // 70 % 5]
+        out.append(name)
+    return out
+
+
 def labelled_urls() -> tuple[tuple[str, str, int], ...]:
     """The small labelled URL table that the query is trained on: (host, path, blocked), by rule from the words above.
-    An ordinary host with an unwanted word in its path is blocked too."""
+    Unknown names stand on the ordinary side; an ordinary host with an unwanted word in its path is blocked too."""
     out = []
-    for blocked, own, other in ((1, UNWANTED, ORDINARY), (0, ORDINARY, UNWANTED)):
+    for blocked, own in ((1, UNWANTED), (0, [*ORDINARY, *made_names()])):
         for i, w in enumerate(own):
             for j in range(8):
                 a, end = AROUND[(i + 5 * j) % len(AROUND)], ENDINGS[(3 * i + j) % len(ENDINGS)]
@@ -59,7 +71,7 @@ def labelled_urls() -> tuple[tuple[str, str, int], ...]:
                 host = ("", "www.", "m.", "")[(i + j) % 4] + f"{name}.{end}"
                 out.append((host, PATHS[(i + j) % len(PATHS)].format(w=w), blocked))
                 if not blocked and j % 4 == 0:
-                    out.append((host, ("/buy-{w}", "/{w}/go")[j // 4].format(w=other[i]), 1))
+                    out.append((host, ("/buy-{w}", "/{w}/go")[j // 4].format(w=UNWANTED[(i + 7 * j) % len(UNWANTED)]), 1))
     return tuple(out)
 
 
@@ -108,7 +120,7 @@ def _scale(owner: np.ndarray, n: int) -> np.ndarray:
     return 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
 
 
-def fit(rows: list[tuple[str, str, int]], steps: int = 300, rate: float = 4.0, ridge: float = 1e-3) -> np.ndarray:
+def fit(rows: list[tuple[str, str, int]], steps: int = 1500, rate: float = 4.0, ridge: float = 3e-5) -> np.ndarray:
     """Weights (the last is the bias) of the regression on the n-gram shares of each url, by gradient descent."""
     w = np.zeros(DIMS + 1)
     if not rows:
