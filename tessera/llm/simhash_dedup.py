@@ -1,6 +1,6 @@
 """SimHash near-dedup with vantage-point trees.
 
-Fingerprints are partitioned by a vantage-point tree fitted on a bounded sample: at each node, fingerprints at Hamming
+Fingerprints are partitioned by a vantage-point tree fitted on a sample in proportion to the shards: at each node, fingerprints at Hamming
 distance up to the node's threshold from its vantage point go to the near side, the others to the far side. By the
 triangle inequality two linked fingerprints on different sides are both within the link radius of the boundary, so the
 near-side ones there visit the far side as well; every linked pair then meets in one shard. A shard does the same again
@@ -27,8 +27,9 @@ from tessera.llm.components import components
 
 SHINGLE = 3
 RADIUS = 2
-#: The vantage-point tree over shards is fitted on at most so many fingerprints.
-SAMPLE = 4096
+#: The vantage-point tree over shards is fitted on a sample of about PER_SHARD fingerprints for each shard aimed at (one
+#: in SHARD / PER_SHARD of all), and on SAMPLE at least, so that shards keep their size when the data grow.
+SAMPLE, PER_SHARD = 4096, 16
 #: Aim for so many fingerprints of its own in a shard.
 SHARD = 50_000
 LEAF = 192
@@ -175,12 +176,19 @@ def _star(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray,
     return nodes[other], nodes[label[other]]
 
 
+def sample_of(distinct: DataFrame, n: int, size: int) -> np.ndarray:
+    """About size of the n fingerprints, those with small remainders of a hash, in the order of the hash."""
+    h = F.xxhash64("fp", F.lit("sample"))
+    t = distinct.where(F.pmod(h, F.lit(max(1, n))) < size).select("fp", h.alias("h")).toArrow()
+    fps, order = (t.column(c).to_numpy() for c in ("fp", "h"))
+    return fps.view(np.uint64)[np.argsort(order, kind="stable")]
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """distinct (fp) -> (u, v) links that span the components of fingerprints within the radius."""
     n = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
-    sample = [r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if depth else []
-    tree = fit_tree(np.array(sample, np.int64).view(np.uint64), depth)
+    tree = fit_tree(sample_of(distinct, n, max(SAMPLE, PER_SHARD << depth)), depth) if depth else None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 
 from tessera.llm.components import components
-from tessera.llm.simhash_dedup import _star, fingerprint, fit_tree, keep_one, route, shard_links, simhash_components
+from tessera.llm.simhash_dedup import PER_SHARD, SAMPLE, _star, fingerprint, fit_tree, fingerprint_links, keep_one, route, sample_of, shard_links, simhash_components
 
 
 def test_fingerprints(spark):
@@ -44,6 +44,31 @@ def test_vantage_point_tree_finds_all_components():
     assert labels(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), fps) == want
 
 
+def test_shards_keep_their_size(spark):
+    """Ten times the shards, ten times the leaves: the largest holds a bounded multiple of its share."""
+    r = np.random.default_rng(6)
+    for depth in (8, 11):
+        fps = np.unique(r.integers(0, 2**64, 100 << depth, np.uint64))
+        tree = fit_tree(fps[: max(SAMPLE, PER_SHARD << depth)], depth)
+        sizes = {}
+        for label, part in route(fps, tree, 0):
+            sizes[label] = sizes.get(label, 0) + len(part)
+        assert sum(sizes.values()) == len(fps) and len(sizes) > 0.6 * 2**depth
+        assert max(sizes.values()) < 20 * 100
+    df = spark.createDataFrame([(int(x),) for x in fps[:5000].view(np.int64)], "fp long")
+    some = sample_of(df, 5000, 500)
+    assert 350 < len(some) < 650 and set(some) <= set(fps[:5000])
+
+
+def test_links_over_many_shards(spark):
+    fps = near(random.Random(8), 300)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = fingerprint_links(df, shard=40).toArrow()
+    u, v = (got.column(c).to_numpy().view(np.uint64) for c in "uv")
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
+    assert labels(u, v, fps) == labels(fps[i], fps[j], fps)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(k, k + 1) for k in range(40)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(7, 7)]
